@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import bpe, decontamination, language_id, license_scan, quality_classifier, quality_rules, token_counts
+from parlance.llm import bpe, decontamination, language_id, license_scan, quality_classifier, quality_rules, substring_dedup, suffix_dedup, token_counts
 from parlance.llm.common import in_shards, shared_dir, table
 
 
@@ -18,6 +18,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_classifier.train(docs, table(spark, sf_dir, "labels").where(in_shards()))
@@ -46,5 +50,9 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("places")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op4_quality_classifier, op5_token_counts, op6_decontamination, op7_language_id, op8_license_scan)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_substring_dedup, op4_quality_classifier, op5_token_counts, op6_decontamination, op7_language_id, op8_license_scan, op10_suffix_dedup)}
 ORACLES: dict[str, str] = {}
