@@ -300,8 +300,8 @@ def decode(encoded: DataFrame, ranks_path: str, keep: list[str] | None = None) -
     return encoded.select(*keep, "ids").mapInArrow(run, f"{types}, decoded binary")
 
 
-def digests(docs: DataFrame, ranks_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each text, encoded and decoded in one pass.
+def digests(docs: DataFrame, ranks_path: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each text, encoded and decoded in one pass; on demand the ids too.
 
     Null and empty texts have no tokens; repeated rows give repeated rows; a null doc_id stays null.
     """
@@ -311,12 +311,19 @@ def digests(docs: DataFrame, ranks_path: str) -> DataFrame:
         bpe = ByteBPE(load_ranks(raw.value))
         for b in pieces(batches):
             groups, _, first = bpe.encode(texts_of(b.column(1)))
-            n, ids_sha, text_sha = [], [], []
+            n, ids_sha, text_sha, all_ids = [], [], [], []
             for x, y in zip(first.tolist(), first[1:].tolist()):
                 ids = _flat(groups[x:y])
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
                 text_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                if with_ids:
+                    all_ids.append(pa.array(ids, pa.int32()))
+            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+            if with_ids:
+                cut = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(cut), pa.concat_arrays(all_ids)))
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 5 if with_ids else 4]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

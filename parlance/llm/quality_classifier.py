@@ -198,12 +198,21 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep: lis
     Null and empty texts have no indicators and get the model's bias; repeated rows give repeated rows.
     """
     keep = keep or ["doc_id"]
+    at = keep.index("text") if "text" in keep else len(keep)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "__text"):
-            s = sent.value.scores(texts_of(b.column(len(keep))))
+        for b in pieces(batches, "text" if at < len(keep) else "__text"):
+            s = sent.value.scores(texts_of(b.column(at)))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
 
     types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, f"{types}, score double, predicted int")
+    extra = [] if at < len(keep) else [F.col("text").alias("__text")]
+    return docs.select(*keep, *extra).mapInArrow(run, f"{types}, score double, predicted int")
+
+
+def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that the model doesn't reject, all columns as they were."""
+    plain = docs.select(*(F.col(c).alias(f"k{i}") if c != "text" else F.col(c) for i, c in enumerate(docs.columns)))
+    kept = score(plain, model, threshold, plain.columns).where("predicted = 1")
+    return kept.select(*(F.col(k).alias(c) for k, c in zip(plain.columns, docs.columns)))

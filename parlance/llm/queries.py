@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import bpe, decontamination, language_id, license_scan, quality_classifier, quality_rules, substring_dedup, suffix_dedup, token_counts
+from parlance.llm import bpe, decontamination, language_id, license_scan, ngram_join, quality_classifier, quality_rules, substring_dedup, suffix_dedup, token_counts
 from parlance.llm.common import in_shards, shared_dir, table
 
 
@@ -50,9 +50,13 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("places")
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_substring_dedup, op4_quality_classifier, op5_token_counts, op6_decontamination, op7_language_id, op8_license_scan, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_substring_dedup, op4_quality_classifier, op5_token_counts, op6_decontamination, op7_language_id, op8_license_scan, op9_ngram_join, op10_suffix_dedup)}
 ORACLES: dict[str, str] = {}
