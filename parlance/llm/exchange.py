@@ -12,8 +12,8 @@ anchor that its content alone selects, so that equal windows have equal anchors.
    others ask about the contexts that are open, again reduced to distinct ones.
 4. Questions meet by content, are resolved, and the answers return to the texts.
 
-All rows that travel are packed arrays, a row for each batch and bucket. Buckets grow in number
-with spark.sql.shuffle.partitions, which a user sizes to the input.
+All rows that travel are packed arrays, a row for each batch and bucket. There is one
+bucket for each of spark.sql.shuffle.partitions, which a user sizes to the input.
 """
 
 from __future__ import annotations
@@ -23,13 +23,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import Texts, mix, pieces, texts_of
+from parlance.llm.common import CHUNK_BYTES, Texts, mix, pieces, texts_of
 
-#: Buckets for each shuffle partition, which evens out what partitions get.
-BUCKETS_A_PARTITION = 4
 #: What a null doc_id counts as: smaller than any other.
 NULL_ID = -(1 << 63)
 #: Codes of a reply: compare the context further; all its windows repeat; both.
@@ -121,11 +119,24 @@ def _anchor_key(anchor: np.ndarray) -> np.ndarray:
     return (anchor & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
+def partition_labels(spark: SparkSession, n: int) -> np.ndarray:
+    """n whole numbers that Spark's hash partitioning puts into n different partitions, in their order."""
+    reach = n * (int(np.log(n + 1)) + 8)
+    while True:
+        place = F.pmod(F.hash(F.col("id").cast("int")), F.lit(n))
+        rows = spark.range(0, reach, 1, 1).groupBy(place.alias("p")).agg(F.min("id").alias("id")).collect()
+        if len(rows) == n:
+            return np.array([r["id"] for r in sorted(rows, key=lambda r: r["p"])], np.int32)
+        reach *= 2
+
+
 def deduplicated(docs: DataFrame, op: Repeats, texts: bool = False, keep: list[str] | None = None) -> DataFrame:
     """doc_id, n, removed, spans and sha of each row; with `texts`, doc_id, the kept text and the `keep` columns instead."""
     spark, keep = docs.sparkSession, keep or []
-    n = BUCKETS_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slot = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))), F.lit(n)).cast("int")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    labels = partition_labels(spark, n)
+    number = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))), F.lit(n)).cast("int")
+    slot = F.get(F.lit(labels.tolist()), number)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), slot.alias("slot"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)))
     kept_types = [(f"k{i}", docs.schema[c].dataType.simpleString()) for i, c in enumerate(keep)]
 
@@ -146,7 +157,7 @@ def deduplicated(docs: DataFrame, op: Repeats, texts: bool = False, keep: list[s
             flag = np.where(first, np.where(np.repeat(many, size), FIRST, ONLY), LATER).astype(np.uint8)
             on = first | ~same
             cols = {"id": ids[on], "at": at[on], "anchor": anchor[on], "ctx": ctx[on], "flag": flag[on]}
-            made = list(_cut(((anchor[on] >> np.uint64(33)) % np.uint64(n)).astype(np.int64), cols, _PACKED))
+            made = list(_cut(labels[((anchor[on] >> np.uint64(33)) % np.uint64(n)).astype(np.int64)], cols, _PACKED))
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in made], pa.int32()), *(pa.array([v[c] for _, v in made], pa.binary()) for c in cols)], names=["bucket", *cols])
 
     def settle(t: pa.Table) -> pa.Table:
@@ -156,7 +167,7 @@ def deduplicated(docs: DataFrame, op: Repeats, texts: bool = False, keep: list[s
         code = op.settle(**got) if len(order) else np.zeros(0, np.uint8)
         on = code > 0
         cols = {"id": got["id"][on], "at": got["at"][on], "ctx": got["ctx"][on], "code": code[on].astype(np.uint8)}
-        made = list(_cut(np.mod(xxhash64(cols["id"]), n), cols, _PACKED))
+        made = list(_cut(labels[np.mod(xxhash64(cols["id"]), n)], cols, _PACKED))
         return pa.table([pa.array([k for k, _ in made], pa.int32()), *(pa.array([v[c] for _, v in made], pa.binary()) for c in cols)], names=["slot", *cols])
 
     own = [("doc_id", "bigint"), ("n", "bigint"), ("removed", "bigint"), ("spans", "bigint"), ("sha", "string"), ("text", "string"), *kept_types]
@@ -191,17 +202,27 @@ def deduplicated(docs: DataFrame, op: Repeats, texts: bool = False, keep: list[s
         ids = _ids(d["doc_id"])
         slots = d["slot"].combine_chunks()
         raw = [x.encode() for x in d["text"].to_pylist()]
-        hit = np.flatnonzero(np.isin(ids, got["id"])) if len(got["id"]) else np.zeros(0, np.int64)
+        every = np.flatnonzero(np.isin(ids, got["id"])) if len(got["id"]) else np.zeros(0, np.int64)
+        key = lambda i, a, c: mix(mix(i.astype(np.int64).view(np.uint64)) + a.astype(np.int64).view(np.uint64)) ^ c
+        have = key(got["id"], got["at"], got["ctx"])
+        order = np.argsort(have)
+        have, codes = have[order], got["code"][order]
+        # texts that share a doc_id are told apart by a version in the high bits of a place
+        versions = np.zeros(len(raw), np.int64)
+        if len(np.unique(ids[every])) < len(every):
+            seen: dict = {}
+            for i in every.tolist():
+                versions[i] = seen.setdefault(int(ids[i]), {}).setdefault(raw[i], len(seen[int(ids[i])]))
         ranges: dict[int, list] = {}
-        waiting: set[int] = set()
+        waiting: list[int] = []
         out = []
-        if len(hit):
+        total = np.cumsum([len(raw[i]) for i in every]) if len(every) else np.zeros(0, np.int64)
+        start = 0
+        while start < len(every):  # as much text at once as memory is meant for
+            stop = max(start + 1, int(np.searchsorted(total, total[start] + CHUNK_BYTES)))
+            hit, start = every[start:stop], stop
             t = texts_of(pa.array([raw[i] for i in hit], pa.binary()))
             e = op.find(t)
-            key = lambda i, a, c: mix(mix(i.astype(np.int64).view(np.uint64)) + a.astype(np.int64).view(np.uint64)) ^ c
-            have, order = key(got["id"], got["at"], got["ctx"]), None
-            order = np.argsort(have)
-            have, codes = have[order], got["code"][order]
             mine = key(ids[hit][e.doc], e.lo, e.ctx)
             place = np.minimum(np.searchsorted(have, mine), len(have) - 1)
             code = np.where(have[place] == mine, codes[place], 0)
@@ -209,24 +230,18 @@ def deduplicated(docs: DataFrame, op: Repeats, texts: bool = False, keep: list[s
                 ranges.setdefault(int(hit[e.doc[k]]), []).append((int(e.lo[k]), int(e.hi[k])))
             ask = np.flatnonzero((code > 0) & (code != REPEATED))
             if len(ask):
-                # texts that share a doc_id are told apart by a version in the high bits of a place
-                version = np.zeros(len(hit), np.int64)
-                if len(np.unique(ids[hit])) < len(hit):
-                    seen: dict = {}
-                    for j, i in enumerate(hit.tolist()):
-                        version[j] = seen.setdefault(int(ids[i]), {}).setdefault(raw[i], len(seen[int(ids[i])]))
-                bucket, cols, known, stay = op.ask(t, e, ask, ids[hit], version, code)
-                for k in known.tolist():  # (entry's text, start) pairs that repeat within this group
+                bucket, cols, known, stay = op.ask(t, e, ask, ids[hit], versions[hit], code)
+                for k in known.tolist():  # (text, start) pairs that repeat within this chunk
                     ranges.setdefault(int(hit[k[0]]), []).append((k[1], k[1]))
-                waiting = {int(hit[j]) for j in np.unique(stay).tolist()}
-                made = list(_cut_questions(np.mod(bucket, n), cols))
+                waiting += hit[np.unique(stay)].tolist()
+                made = list(_cut_questions(labels[np.mod(bucket, n)], cols))
                 out.append(rows_of({"bucket": [k for k, _ in made], "kind": [QUESTION] * len(made)} | {c: [v[c] for _, v in made] for c in cols}, len(made), d.schema))
-                if waiting:
-                    at = sorted(waiting)
-                    where = {int(h): j for j, h in enumerate(hit.tolist())}
-                    picked = d.take(pa.array(at, pa.int64()))
-                    blobs = {"at": [np.array([x for p in ranges.get(i, []) for x in p], np.int32).tobytes() for i in at], "count": [np.array([version[where[i]]], np.int32).tobytes() for i in at]}
-                    out.append(rows_of({"bucket": slots.take(pa.array(at, pa.int64())), "kind": [OPEN] * len(at), "doc_id": picked["doc_id"], "text": picked["text"]} | blobs | {k: picked[k] for k, _ in kept_types}, len(at), d.schema))
+        if waiting:
+            at = sorted(waiting)
+            picked = d.take(pa.array(at, pa.int64()))
+            blobs = {"at": [np.array([x for p in ranges.get(i, []) for x in p], np.int32).tobytes() for i in at], "count": [np.array([versions[i]], np.int32).tobytes() for i in at]}
+            out.append(rows_of({"bucket": slots.take(pa.array(at, pa.int64())), "kind": [OPEN] * len(at), "doc_id": picked["doc_id"], "text": picked["text"]} | blobs | {k: picked[k] for k, _ in kept_types}, len(at), d.schema))
+        waiting = set(waiting)
         rest = [i for i in range(len(raw)) if i not in waiting]
         done = finished(d, rest, ranges, raw)
         out.append(rows_of(done | {"bucket": slots.take(pa.array(rest, pa.int64()))}, len(rest), d.schema))
@@ -239,7 +254,7 @@ def deduplicated(docs: DataFrame, op: Repeats, texts: bool = False, keep: list[s
         if not asked.num_rows:
             return passed
         ids, at, count = op.resolve({c: _joined(asked, c, {}) for c in payload})
-        made = list(_cut(np.mod(xxhash64(ids), n), {"id": ids, "at": at, "count": count.astype(np.int32)}, {}))
+        made = list(_cut(labels[np.mod(xxhash64(ids), n)], {"id": ids, "at": at, "count": count.astype(np.int32)}, {}))
         answers = rows_of({"bucket": [k for k, _ in made], "kind": [ANSWER] * len(made)} | {c: [v[c] for _, v in made] for c in ("id", "at", "count")}, len(made), t.schema)
         return pa.concat_tables([passed, answers.cast(t.schema)])
 
