@@ -1,4 +1,4 @@
-"""The registered queries and their DuckDB twins."""
+"""All registered queries; each plans module adds its own."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from parlance.plans import corpus, quality, relational, statistics  # noqa: F401
+from parlance.plans.registry import ORACLES, QUERIES  # noqa: F401
