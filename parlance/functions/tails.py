@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -72,11 +73,11 @@ def chi2_p(x: float, df: int) -> float:
     return gamma_tail(df / 2, x / 2) if x is not None and df and not np.isnan(x) else float("nan")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def pearson_pvalue(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([None if np.isnan(p := pearson_p(a, b)) else p for a, b in zip(r, n)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_pvalue(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if np.isnan(p := chi2_p(a, b)) else p for a, b in zip(x, df)], dtype="float64")

@@ -124,7 +124,7 @@ def method_synthesis(spark, sf_dir):
 
 
 @query("""with s as (select d.lang as domain, case doc_id % 3 when 0 then 'clean' when 1 then 'diarize' else 'split' end as stage, case when l.quality is null then -1 else l.quality + l.toxic end as score from documents d left join labels l using (doc_id))
-select domain, round(sum(score) filter (stage = 'clean' and score >= 0) / greatest(1, count(*) filter (stage = 'clean' and score >= 0)), 4) as clean_mean, round(coalesce(sum(score) filter (stage = 'diarize' and score >= 0), 0) / greatest(1, count(*) filter (stage = 'diarize' and score >= 0)), 4) as diarize_mean,
+select domain, round(coalesce(sum(score) filter (stage = 'clean' and score >= 0), 0) / greatest(1, count(*) filter (stage = 'clean' and score >= 0)), 4) as clean_mean, round(coalesce(sum(score) filter (stage = 'diarize' and score >= 0), 0) / greatest(1, count(*) filter (stage = 'diarize' and score >= 0)), 4) as diarize_mean,
 round(coalesce(sum(score) filter (stage = 'split' and score >= 0), 0) / greatest(1, count(*) filter (stage = 'split' and score >= 0)), 4) as split_mean, count(*) filter (score = 0) as zeros, count(*) filter (score = 1) as ones, count(*) filter (score = 2) as twos, count(*) filter (score < 0) as errors,
 case when count(*) filter (score = 2) >= 0.8 * count(*) filter (score >= 0) then 'A' when count(*) filter (score >= 1) >= 0.8 * count(*) filter (score >= 0) then 'B' when count(*) filter (score >= 1) >= 0.6 * count(*) filter (score >= 0) then 'C' else 'D' end as grade from s group by domain""")
 def audit_rollup(spark, sf_dir):

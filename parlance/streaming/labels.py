@@ -51,4 +51,5 @@ class Manifest(StatefulProcessor):
 
 def manifest(events: DataFrame) -> DataFrame:
     """Updates of id, state, failures and n from a stream of (id, seq, event); needs the RocksDB state store."""
-    return events.groupBy("id").transformWithStateInPandas(Manifest(), "id long, state string, failures int, n long", "Update", "None")
+    events = events.withColumn("id", F.col("id").cast("string"))
+    return events.groupBy("id").transformWithStateInPandas(Manifest(), "id string, state string, failures int, n long", "Update", "None")
