@@ -24,6 +24,8 @@ ORDER = 4
 BLANK = 0x20
 #: Learned from about so many documents a language; documented bound of the sample.
 DOCS_PER_LANGUAGE = 3000
+#: Languages whose counts are broadcast at most.
+BROADCAST_LANGUAGES = 10_000
 UNDETERMINED = "und"
 
 
@@ -210,6 +212,8 @@ def _counts(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
 def _sample(rows: DataFrame, per_language: int, seed: int) -> DataFrame:
     """About `per_language` rows of each language, by a hash of doc_id: no sort, no group in one task."""
     n = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("__n"))
+    # few languages are broadcast, so that texts stay where they are; beyond the bound the join shuffles
+    n = F.broadcast(n) if n.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES else n
     place = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30))
     return rows.join(n, "lang").where(place < F.lit(float(1 << 30)) * F.lit(per_language) / F.col("__n")).select("lang", "text")
 
