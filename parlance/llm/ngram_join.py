@@ -217,12 +217,13 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, reca
     Jaccard similarity, copies included. class_id is the smallest doc_id of the connected
     component of such links, copy_of the smallest doc_id with an equal set. A text
     of fewer than k words is one shingle. A text without words, or null, has no
-    links and is its own class. Rows with a null doc_id are linked, but name no class; a class of these alone has a null class_id.
+    links and is its own class. Of rows with a null doc_id, those whose set another row with an id has
+    share its class and links; the others are linked to their copies only, and their class_id is null.
     """
     at_least = Fraction(similarity).limit_denominator(1000)
     bands = bands_for(similarity, recall, band_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = classes(rows, k, bands, band_rows)
+    found = written(classes(rows, k, bands, band_rows), "ngram-sets")  # read twice, made once
     per_class = found.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("copy_of"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
     per_class = written(per_class, "ngram-classes")
     banded = per_class.select("key", F.explode("bands").alias("band"))
