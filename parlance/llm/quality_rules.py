@@ -22,7 +22,7 @@ WINDOW = 8
 LEAST_TEXTS = 100
 #: Fences: third quartile plus so many interquartile ranges, and at least a slack, in parts of 10,000.
 FENCE = 4
-SLACK = {"symbols": 600, "dup_lines": 3000, "repeats": 3000, "word_len": 400}
+SLACK = {"symbols": 600, "dup_lines": 4000, "repeats": 3000, "word_len": 400}
 #: Sub-buckets of a power of two.
 GRAIN_BITS = 5
 

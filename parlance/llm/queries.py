@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from parlance.llm import bpe, decontamination, language_id, license_scan, ngram_join, quality_classifier, quality_rules, substring_dedup, suffix_dedup, token_counts
 from parlance.llm.common import in_shards, shared_dir, table
+from parlance.llm.oracles import ORACLES  # noqa: F401
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,4 +60,3 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_substring_dedup, op4_quality_classifier, op5_token_counts, op6_decontamination, op7_language_id, op8_license_scan, op9_ngram_join, op10_suffix_dedup)}
-ORACLES: dict[str, str] = {}
