@@ -8,6 +8,8 @@ anchor that its content alone selects, so that equal windows have equal anchors.
    first, so that a text of a third of all rows is one entry a batch.
 2. Entries meet by anchor. Equal contexts settle each other at once; only where
    an anchor has several contexts does one of each have to be compared further.
+   An anchor with many contexts in a batch is hot there: its entries meet by context instead, spread over all
+   buckets, and the anchor's own bucket learns that it is hot and sends on what others sent it.
 3. Replies meet the texts by a hash of doc_id. Texts without a reply are done; the
    others ask about the contexts that are open, again reduced to distinct ones.
 4. Questions meet by content, are resolved, and the answers return to the texts.
@@ -23,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +35,11 @@ from parlance.llm.common import CHUNK_BYTES, Texts, mix, pieces, texts_of
 NULL_ID = -(1 << 63)
 #: Codes of a reply: compare the context further; all its windows repeat; both.
 ASK, REPEATED, REPEATED_ASK = 1, 2, 3
-#: Flags of an entry: the only one of its context in the batch; the first of several; one after the first.
-ONLY, FIRST, LATER = 0, 1, 2
+#: Flags of an entry: the only one of its context in the batch; the first of several; one after the first;
+#: that the anchor is hot; HOT is added where the entry belongs to a hot anchor.
+ONLY, FIRST, LATER, MARK, HOT = 0, 1, 2, 3, 8
+#: Contexts of an anchor in one batch that make it hot.
+HOT_CONTEXTS = 64
 
 
 def xxhash64(x: np.ndarray, seed: int = 42) -> np.ndarray:
@@ -63,7 +69,7 @@ class Entries:
 class Repeats:
     """What an operator brings to the course; all functions run on the executors.
 
-    find: entries of texts. settle: codes of the entries of a bucket. ask: packed
+    find: entries of texts. settle: codes of the entries of a bucket, in order of anchor, context, id and place, and whether all are of hot anchors. ask: packed
     columns of the open entries, with a bucket hash. resolve: answers (id, at, count)
     to the questions of a bucket: starts at .. at + count - 1 repeat. finish: n,
     removed, spans, sha and kept text, given the ranges of repeated starts.
@@ -79,6 +85,7 @@ class Repeats:
 
 
 ENTRY = "bucket int, id binary, at binary, anchor binary, ctx binary, flag binary"
+SETTLED = ["id", "at", "anchor", "ctx", "flag", "code"]
 REPLY = "slot int, id binary, at binary, ctx binary, code binary"
 _TYPES = {"id": np.int64, "at": np.int64, "anchor": np.uint64, "ctx": np.uint64, "flag": np.uint8, "code": np.uint8, "count": np.int32, "hash": np.uint64, "len": np.int32, "own": np.int32, "data": np.uint8}
 #: Narrower forms while they travel.
@@ -156,19 +163,56 @@ def deduplicated(docs: DataFrame, op: Repeats, texts: bool = False, keep: list[s
             many = size > 1 if op.same_place_counts else differs > 0
             flag = np.where(first, np.where(np.repeat(many, size), FIRST, ONLY), LATER).astype(np.uint8)
             on = first | ~same
-            cols = {"id": ids[on], "at": at[on], "anchor": anchor[on], "ctx": ctx[on], "flag": flag[on]}
-            made = list(_cut(labels[((anchor[on] >> np.uint64(33)) % np.uint64(n)).astype(np.int64)], cols, _PACKED))
+            new = _groups(anchor)
+            contexts = np.add.reduceat(first.astype(np.int64), np.flatnonzero(new))[np.cumsum(new) - 1]
+            hot = contexts > HOT_CONTEXTS
+            told = new & hot  # one mark for each hot anchor, which goes to the anchor's bucket
+            home = (anchor >> np.uint64(33)) % np.uint64(n)
+            away = (mix(anchor ^ ctx) >> np.uint64(33)) % np.uint64(n)
+            key = np.concatenate([np.where(hot, away, home)[on], home[told]]).astype(np.int64)
+            flag = flag + (HOT * hot).astype(np.uint8)
+            mark = np.full(int(told.sum()), MARK, np.uint8)
+            cols = {c: np.concatenate([v[on], v[told]]) for c, v in (("id", ids), ("at", at), ("anchor", anchor), ("ctx", ctx))} | {"flag": np.concatenate([flag[on], mark])}
+            made = list(_cut(labels[key], cols, _PACKED))
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in made], pa.int32()), *(pa.array([v[c] for _, v in made], pa.binary()) for c in cols)], names=["bucket", *cols])
 
-    def settle(t: pa.Table) -> pa.Table:
+    def entries_in(t: pa.Table) -> dict[str, np.ndarray]:
         got = {c: _joined(t, c, _PACKED) for c in ("id", "at", "anchor", "ctx", "flag")}
         order = np.lexsort((got["flag"], got["at"], got["id"], got["ctx"], got["anchor"]))
-        got = {c: v[order] for c, v in got.items()}
-        code = op.settle(**got) if len(order) else np.zeros(0, np.uint8)
+        return {c: v[order] for c, v in got.items()}
+
+    def replies_to(got: dict[str, np.ndarray], hot: bool) -> pa.Table:
+        """Replies, a row for each slot."""
+        code = op.settle(**got, hot=hot) if len(got["id"]) else np.zeros(0, np.uint8)
         on = code > 0
         cols = {"id": got["id"][on], "at": got["at"][on], "ctx": got["ctx"][on], "code": code[on].astype(np.uint8)}
         made = list(_cut(labels[np.mod(xxhash64(cols["id"]), n)], cols, _PACKED))
-        return pa.table([pa.array([k for k, _ in made], pa.int32()), *(pa.array([v[c] for _, v in made], pa.binary()) for c in cols)], names=["slot", *cols])
+        empty = pa.nulls(len(made), pa.binary())
+        given = {c: pa.array([v[c] for _, v in made], pa.binary()) for c in cols}
+        return pa.table([pa.array([k for k, _ in made], pa.int32()), *(given.get(c, empty) for c in SETTLED)], names=["bucket", *SETTLED])
+
+    def settle(t: pa.Table) -> pa.Table:
+        """Replies to the entries of anchors that aren't hot; those of hot ones go on, by context."""
+        got = entries_in(t)
+        told = np.unique(got["anchor"][got["flag"] == MARK])
+        moved = (got["flag"] < MARK) & np.isin(got["anchor"], told)  # sent here by batches in which the anchor isn't hot
+        away = got["flag"] >= HOT  # sent to their context's bucket already
+        stay = ~moved & ~away & (got["flag"] != MARK)
+        out = [replies_to({c: v[stay] for c, v in got.items()}, False)]
+        for own in (moved, away):
+            cols = {c: v[own] for c, v in got.items()} | {"flag": got["flag"][own] & np.uint8(HOT - 1)}
+            # an anchor has lost its high bits on the way here, so that the bucket is that of anchor and context as they are now
+            key = (mix(mix(cols["anchor"]) ^ cols["ctx"]) >> np.uint64(33)) % np.uint64(n)
+            made = list(_cut(labels[key.astype(np.int64)], cols, _PACKED))
+            empty = pa.nulls(len(made), pa.binary())
+            out.append(pa.table([pa.array([k for k, _ in made], pa.int32()), *(pa.array([v[c] for _, v in made], pa.binary()) if c in cols else empty for c in SETTLED)], names=["bucket", *SETTLED]))
+        return pa.concat_tables(out)
+
+    def settle_hot(t: pa.Table) -> pa.Table:
+        """Replies to what is left, and those that are there already."""
+        ready = t.filter(pa.compute.is_valid(t["code"]))
+        out = pa.concat_tables([ready, replies_to(entries_in(t.filter(pa.compute.is_valid(t["flag"]))), True)])
+        return out.select(["bucket", "id", "at", "ctx", "code"]).rename_columns(["slot", "id", "at", "ctx", "code"])
 
     own = [("doc_id", "bigint"), ("n", "bigint"), ("removed", "bigint"), ("spans", "bigint"), ("sha", "string"), ("text", "string"), *kept_types]
     payload = ["id", "at", "hash", "count", "len", "own", "data"]
@@ -285,7 +329,8 @@ def deduplicated(docs: DataFrame, op: Repeats, texts: bool = False, keep: list[s
 
     ddl = lambda cols: ", ".join(f"{c} {k}" for c, k in cols)
     found = rows.select("doc_id", "text").mapInArrow(entries, ENTRY)
-    replies = found.groupBy("bucket").applyInArrow(settle, REPLY)
+    settled = found.groupBy("bucket").applyInArrow(settle, "bucket int, " + ", ".join(f"{c} binary" for c in SETTLED))
+    replies = settled.groupBy("bucket").applyInArrow(settle_hot, REPLY)
     met = rows.groupBy("slot").cogroup(replies.groupBy("slot")).applyInArrow(meet, ddl(step))
     solved = met.groupBy("bucket").applyInArrow(resolve, ddl(step))
     out = solved.groupBy("bucket").applyInArrow(close, ddl(own))

@@ -133,13 +133,13 @@ def entries_of(words: np.ndarray, first: np.ndarray) -> exchange.Entries:
     return exchange.Entries(doc, p[head] - first[:-1][doc], p[tail] - first[:-1][doc], anchor, ctx)
 
 
-def settle(id, at, anchor, ctx, flag):
+def settle(id, at, anchor, ctx, flag, hot):
     """Entries in order of anchor, context, id and place: all but a context's first repeat; first ones of several contexts are open."""
     g, c = exchange._groups(anchor), exchange._groups(anchor, ctx)
     head = np.flatnonzero(c)[np.cumsum(c) - 1]
     is_first = (id == id[head]) & (at == at[head])
     contexts = np.add.reduceat(c.astype(np.int64), np.flatnonzero(g))[np.cumsum(g) - 1]
-    return np.where(~is_first, exchange.REPEATED, np.where(contexts > 1, exchange.ASK, 0)).astype(np.uint8)
+    return np.where(~is_first, exchange.REPEATED, np.where(hot | (contexts > 1), exchange.ASK, 0)).astype(np.uint8)
 
 
 def _expand(lo: np.ndarray, count: np.ndarray) -> np.ndarray:

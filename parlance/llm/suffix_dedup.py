@@ -76,14 +76,14 @@ def find(t: Texts) -> exchange.Entries:
     return exchange.Entries(doc, lo - t.offsets[:-1][doc], hi - t.offsets[:-1][doc], anchor, ctx)
 
 
-def settle(id, at, anchor, ctx, flag):
+def settle(id, at, anchor, ctx, flag, hot):
     """Entries in order of anchor, context, id and place: a context of two places repeats as a whole; one of each context is open if an anchor has several."""
     g, c = exchange._groups(anchor), exchange._groups(anchor, ctx)
     cs = np.flatnonzero(c)
     of = np.cumsum(c) - 1
     places = np.add.reduceat(np.where(flag == exchange.FIRST, 2, 1), cs)[of]
     contexts = np.add.reduceat(c.astype(np.int64), np.flatnonzero(g))[np.cumsum(g) - 1]
-    several, hot = contexts > 1, contexts > MOST_CONTEXTS
+    several, hot = hot | (contexts > 1), hot | (contexts > MOST_CONTEXTS)
     # the one to ask is the first that its batch holds as its first
     own = flag != exchange.LATER
     rank = np.cumsum(own) - (np.cumsum(own)[cs] - own[cs])[of]

@@ -66,6 +66,17 @@ def test_substring_dedup(spark, docs, rows, real, nothing):
         assert got(substring_dedup.report(df), *COLS3) == sorted(brute.op3(some))
 
 
+def test_hot_anchors(spark, monkeypatch):
+    """With every anchor of two contexts in a batch counted as hot, in some batches and not in others."""
+    monkeypatch.setattr(exchange, "HOT_CONTEXTS", 1)
+    passage = " ".join(f"p{i}x" for i in range(100))
+    some = mosaics(7, 40, 150) + [(1000 + i, f"a{i}b c{i}d {passage} e{i}f g{i}h " + "tail " * (i % 4)) for i in range(60)]
+    for parts in (1, 7):
+        df = spark.createDataFrame(some, "doc_id long, text string").repartition(parts)
+        assert got(substring_dedup.report(df), *COLS3) == sorted(brute.op3(some))
+        assert got(suffix_dedup.report(df), *COLS10) == sorted(brute.op10(some))
+
+
 def test_substring_texts(docs, rows):
     out = {r.doc_id: r for r in substring_dedup.deduplicate(docs).collect()}
     want = {r[0]: r for r in brute.op3(rows)}
