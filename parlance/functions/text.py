@@ -95,3 +95,41 @@ def ngrams(items: Column, n: int) -> Column:
     """Runs of n items, joined by spaces; none if there are fewer."""
     at = F.when(F.size(items) >= n, F.sequence(F.lit(1), F.size(items) - (n - 1))).otherwise(F.array().cast("array<int>"))
     return F.transform(at, lambda i: F.array_join(F.slice(items, i, n), " "))
+
+
+def excerpt(text: Column, needle: Column, radius: int = 130) -> Column:
+    """Up to `radius` characters on either side of the first needle, white space squeezed; '' without one."""
+    at = F.when(F.coalesce(needle, F.lit("")) == "", 0).otherwise(F.position(needle, text))
+    start = F.greatest(F.lit(1), at - radius)
+    return F.when(F.coalesce(at, F.lit(0)) > 0, squeeze(F.substring(text, start, at - start + F.char_length(needle) + radius))).otherwise("")
+
+
+def filled(template: str, values: dict[str, Column]) -> Column:
+    """A template with each literal {name} replaced."""
+    out = F.lit(template)
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
+    return out
+
+
+def stars(p: Column) -> Column:
+    """Significance marks of a p-value."""
+    return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("")
+
+
+#: Fixed value: words of over five letters that don't tell where a passage stands.
+COMMON_LONG = ["there", "their", "these", "those", "about", "which", "would", "could", "should"]
+
+
+def alignment(transcript: Column, cleaned: Column) -> Column:
+    """0-based place in a transcript where its cleaned text begins.
+
+    Anchors of 120, 80, 50 and 30 characters (cut at the last space) are looked for, then
+    runs of three long words of the first 200 characters; else a third of the transcript is taken to be introduction.
+    """
+    low, first = F.lower(transcript), strip(cleaned)
+    place = lambda a: F.nullif(F.position(F.lower(a), low), F.lit(0))
+    anchors = [place(F.regexp_replace(F.substring(first, 1, n), r"(?s) [^ ]*$", "")) for n in (120, 80, 50, 30)]
+    long_words = F.filter(F.split(F.substring(first, 1, 200), r"\s+"), lambda w: (F.char_length(w) > 5) & ~F.lower(w).isin(COMMON_LONG))
+    phrase = F.get(F.filter(F.transform(ngrams(long_words, 3), lambda p: F.position(F.lower(p), low)), lambda i: i > 0), F.lit(0))
+    return F.coalesce(*(a - 1 for a in anchors), phrase - 1, F.floor(F.char_length(transcript) / 3).cast("int"))

@@ -142,3 +142,15 @@ def folded(lines: Column, strict: bool = False) -> Column:
         return F.struct(done.alias("done"), F.when(more, glue).otherwise(line).alias("now"))
 
     return F.aggregate(kept, start, step, lambda acc: F.when(acc["now"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["now"])))
+
+
+def shuffled(df: DataFrame, keys: list[str], seed: int = 42) -> DataFrame:
+    """df in a seeded order that is the same on every engine and at every partitioning."""
+    return df.withColumn("__h", _seeded(seed, keys)).orderBy("__h", *keys).drop("__h")
+
+
+def spread_sample(df: DataFrame, group: str, order: list[str], k: int = 25) -> DataFrame:
+    """Rows 0, s, 2s, ... of each group with s = max(1, n div k), k at most."""
+    own = W.partitionBy(group)
+    rows = df.withColumn("__i", F.row_number().over(own.orderBy(*order)) - 1).withColumn("__s", F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(own) / k)))
+    return rows.where((F.col("__i") % F.col("__s") == 0) & (F.col("__i") < F.col("__s") * k)).drop("__i", "__s")

@@ -122,3 +122,15 @@ def first_match(*rules: tuple[Column, Column], otherwise: Column) -> Column:
     for test, value in rules:
         out = F.when(test, value) if out is None else out.when(test, value)
     return out.otherwise(otherwise)
+
+
+def assign(fact: DataFrame, mapping: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
+    """fact with the value of the last mapping row of its key; rows without one, or with an empty one, go."""
+    last = last_wins(mapping.select(key, value, *(c for c in order if c not in (key, value))), [key], order).select(key, value)
+    return fact.join(small(last.where(F.coalesce(F.col(value), F.lit("")) != "")), key)
+
+
+def match_replies(batched: DataFrame, replies: DataFrame) -> DataFrame:
+    """Batch rows (batch_id, rel_idx) with the reply rows (batch_id, idx, valence, modality) of their place; of several the first valid one by `line`."""
+    one = keep_first(replies, ["batch_id", "idx"], ["line"])
+    return batched.join(one.withColumnRenamed("idx", "rel_idx").drop("line"), ["batch_id", "rel_idx"])

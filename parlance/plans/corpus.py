@@ -227,11 +227,26 @@ def cost_model(spark, sf_dir):
     return agg.withColumns({"minutes": F.round(minutes, 4), "hosted_cost": F.round(minutes * 0.015, 4), "local_cost": F.round(minutes / 90.0 / 60.0 * 0.35 * 0.24, 6)})
 
 
-@query(r"""with a as (select d.doc_id, p.html, d.text from documents d join pages p on p.page_id = d.doc_id), v as (select doc_id, lower(text) as t, lower(text[40:160]) as c from a)
-select doc_id, strpos(t, c) - 1 as at, greatest(0, strpos(t, c) - 301) as from_char from v""")
+@query(r"""with a as (select doc_id, 'Welcome to the show. ' || text as t, regexp_replace(text[12:], '^\s+|\s+$', '', 'g') as c from documents where length(text) > 200),
+p as (select doc_id, lower(t) as t, list_transform([120, 80, 50, 30], lambda n: strpos(lower(t), lower(regexp_replace(c[:n], '(?s) [^ ]*$', '')))) as f, list_filter(string_split_regex(c[:200], '\s+'), lambda w: length(w) > 5 and lower(w) not in ('there', 'their', 'these', 'those', 'about', 'which', 'would', 'could', 'should')) as w from a),
+q as (select doc_id, t, list_filter(f, lambda i: i > 0) as f, list_filter(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: strpos(t, lower(array_to_string(w[i:i + 2], ' ')))), lambda i: i > 0) as g from p)
+select doc_id, cast(coalesce(f[1] - 1, g[1] - 1, length(t) // 3) as int) as at from q""")
 def text_alignment(spark, sf_dir):
-    """Where a cleaned excerpt stands in its transcript, and the start of the window around it."""
-    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
-    rows = docs.join(pages, F.col("page_id") == F.col("doc_id")).select("doc_id", F.lower("text").alias("t"), F.lower(F.substring("text", 40, 121)).alias("c"))
-    at = F.expr("locate(c, t)")
-    return rows.select("doc_id", (at - 1).cast("long").alias("at"), F.greatest(F.lit(0), at - 301).cast("long").alias("from_char"))
+    """Where a cleaned text begins in its transcript."""
+    docs = table(spark, sf_dir, "documents").where(F.char_length("text") > 200)
+    rows = docs.select("doc_id", F.concat(F.lit("Welcome to the show. "), "text").alias("t"), F.expr("substring(text, 12)").alias("c"))
+    return rows.select("doc_id", text.alignment(F.col("t"), F.col("c")).alias("at"))
+
+
+@query("select item_id, trim(regexp_replace(t[greatest(1, strpos(t, n) - 130):strpos(t, n) + length(n) + 129], '\\s+', ' ', 'g')) as excerpt, 'Item ' || item_id || ': ' || n as prompt from (select item_id, text as t, text[60:70] as n from benchmark)")
+def excerpts(spark, sf_dir):
+    """Text around a needle, and a filled template."""
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("t"), F.substring("text", 60, 11).alias("n"))
+    return rows.select("item_id", text.excerpt(F.col("t"), F.col("n")).alias("excerpt"), text.filled("Item {id}: {needle}", {"id": F.col("item_id"), "needle": F.col("n")}).alias("prompt"))
+
+
+@query(f"with {SENTENCES} select doc_id, idx, {WORDS.format('s')} as n_words from sent where {WORDS.format('s')} >= 61")
+def long_addresses(spark, sf_dir):
+    """Where the sentences of 61 words or more stand."""
+    rows = sentences(spark, sf_dir).select("doc_id", F.col("idx").cast("long").alias("idx"), text.word_count(F.col("s")).alias("n_words"))
+    return rows.where("n_words >= 61")

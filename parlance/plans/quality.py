@@ -143,14 +143,14 @@ def json_reply(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", replies.json_score(reply).cast("int").alias("score"))
 
 
-_TITLES = ["Interview with Ray Dalio on debt", "Ray Dalio", "The history of money", "Panel: Dalio and others", "Who is Ray Dalio documentary", "Breaking news"]
+_TITLES = ["Interview with Ada Lovelace on debt", "Ada Lovelace", "The history of money", "Panel: Lovelace and others", "Who is Ada Lovelace documentary", "Breaking news"]
 
 
 def _videos(spark, sf_dir) -> DataFrame:
     title = F.element_at(F.array(*map(F.lit, _TITLES)), (F.col("page_id") % 6 + 1).cast("int"))
-    channel = F.when(F.col("page_id") % 4 == 0, "CNBC News").when(F.col("page_id") % 4 == 1, "Ray Dalio").otherwise("Channel")
-    heard = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("welcome our guest is ray dalio today "), F.col("html")))
-    rows = table(spark, sf_dir, "pages").select("page_id", title.alias("title"), channel.alias("channel"), F.lit("Ray Dalio").alias("display"), heard.alias("transcript"))
+    channel = F.when(F.col("page_id") % 4 == 0, "CNBC News").when(F.col("page_id") % 4 == 1, "Ada Lovelace").otherwise("Channel")
+    heard = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("welcome our guest is ada lovelace today "), F.col("html")))
+    rows = table(spark, sf_dir, "pages").select("page_id", title.alias("title"), channel.alias("channel"), F.lit("Ada Lovelace").alias("display"), heard.alias("transcript"))
     return rows.withColumn("aliases", evidence.aliases(F.col("display")))
 
 
@@ -162,12 +162,12 @@ def _any(c: str, terms: list[str]) -> str:
     return "(" + " or ".join(f"contains({c}, {_quoted(t)})" for t in terms) + ")"
 
 
-_NAMES = ["ray dalio", "dalio", "rd"]
+_NAMES = ["ada lovelace", "lovelace", "al"]
 _HIT = lambda c: "case " + " ".join(f"when contains(' ' || {c} || ' ', ' {a} ') then '{a}'" for a in _NAMES) + " end"
 
 
-@query(f"""with v as (select page_id, {_norm("case page_id % 6 " + " ".join(f"when {i} then {_quoted(t)}" for i, t in enumerate(_TITLES)) + " end")} as t, {_norm("case page_id % 4 when 0 then 'CNBC News' when 1 then 'Ray Dalio' else 'Channel' end")} as c from pages),
-h as (select *, {_HIT("t")} as ta, {_HIT("c")} as ca, regexp_matches(t || ' ' || c, '\\bray\\b') and regexp_matches(t || ' ' || c, '\\bdalio\\b') as tok, {_any("t", evidence.INTERVIEW_TERMS)} as iv, {_any("c", evidence.NEWS_CHANNELS)} as g, list_sort(list_filter([{', '.join(map(_quoted, evidence.RISK_TERMS))}], lambda r: contains(t, r))) as risks from v),
+@query(f"""with v as (select page_id, {_norm("case page_id % 6 " + " ".join(f"when {i} then {_quoted(t)}" for i, t in enumerate(_TITLES)) + " end")} as t, {_norm("case page_id % 4 when 0 then 'CNBC News' when 1 then 'Ada Lovelace' else 'Channel' end")} as c from pages),
+h as (select *, {_HIT("t")} as ta, {_HIT("c")} as ca, regexp_matches(t || ' ' || c, '\\bada\\b') and regexp_matches(t || ' ' || c, '\\blovelace\\b') as tok, {_any("t", evidence.INTERVIEW_TERMS)} as iv, {_any("c", evidence.NEWS_CHANNELS)} as g, list_sort(list_filter([{', '.join(map(_quoted, evidence.RISK_TERMS))}], lambda r: contains(t, r))) as risks from v),
 s as (select *, 4 * cast(ta is not null as int) + 3 * cast(ca is not null as int) + 3 * cast(tok and ta is null as int) + cast(iv as int) - cast(g and ta is null as int) - least(3, len(risks)) - 4 * cast(ta is null and ca is null and not tok as int) as score from h)
 select page_id, cast(score as int) as identity_score, case when score >= 4 then 'likely_match' when score >= 1 then 'review' else 'high_risk' end as identity_status, array_to_string(list_filter([case when ta is not null then 'title_name:' || ta end, case when ca is not null then 'channel_name:' || ca end, case when tok and ta is null then 'all_name_tokens' end, case when iv then 'interview_or_speech_term' end, case when g and ta is null then 'generic_news_channel_without_title_name' end, case when len(risks) > 0 then 'risk_terms:' || array_to_string(risks[1:4], '|') end, case when ta is null and ca is null and not tok then 'no_name_match' end], lambda k: k is not null), '; ') as identity_reasons from s""")
 def identity_score(spark, sf_dir):
@@ -184,20 +184,20 @@ def identity_with_transcript(spark, sf_dir):
     return v.select("page_id", *(c.alias(n) for n, c in evidence.identity(F.col("title"), F.col("channel"), F.col("display"), F.col("aliases"), F.col("transcript")).items()))
 
 
-_VT = "case when not (contains(t, 'ray dalio') or contains(t, 'dalio')) then (1, 1) when " + _any("t", evidence.TITLE_DOCUMENTARY) + " or " + " or ".join(f"regexp_matches(t, {_quoted(p)})" for p in evidence.TITLE_DOUBTFUL) + " then (2, 2) when " + _any("t", evidence.TITLE_INTERVIEW) + " and not " + _any("t", evidence.TITLE_PANEL) + " then (4, 3) else (3, 2) end"
-_VD = "case when d = '' then null when " + _any("d", evidence.TEXT_DOCUMENTARY) + " and not " + _any("d", evidence.TEXT_INTERVIEW) + " then (2, 3) when " + _any("d", evidence.TEXT_INTERVIEW) + " and contains(d, 'ray dalio') then (4, 3) when " + _any("d", evidence.TEXT_PANEL) + " then (3, 2) when contains(d, 'ray dalio') then (3, 1) else null end"
+_VT = "case when not (contains(t, 'ada lovelace') or contains(t, 'lovelace')) then (1, 1) when " + _any("t", evidence.TITLE_DOCUMENTARY) + " or " + " or ".join(f"regexp_matches(t, {_quoted(p)})" for p in evidence.TITLE_DOUBTFUL) + " then (2, 2) when " + _any("t", evidence.TITLE_INTERVIEW) + " and not " + _any("t", evidence.TITLE_PANEL) + " then (4, 3) else (3, 2) end"
+_VD = "case when d = '' then null when " + _any("d", evidence.TEXT_DOCUMENTARY) + " and not " + _any("d", evidence.TEXT_INTERVIEW) + " then (2, 3) when " + _any("d", evidence.TEXT_INTERVIEW) + " and contains(d, 'ada lovelace') then (4, 3) when " + _any("d", evidence.TEXT_PANEL) + " then (3, 2) when contains(d, 'ada lovelace') then (3, 1) else null end"
 
 
-@query(f"""with v as (select page_id, lower(case page_id % 6 {" ".join(f"when {i} then {_quoted(t)}" for i, t in enumerate(_TITLES))} end) as t, lower(case page_id % 5 when 0 then '' when 1 then 'Ray Dalio sits down with us' when 2 then 'A documentary' when 3 then 'A panel' else 'Thoughts of Ray Dalio' end) as d, html as x from pages),
-w as (select page_id, {_VT} as vt, {_VD} as vd, {WORDS.format("x")} as n, (length(x) - length(replace(x, '?', ''))) / greatest({WORDS.format("x")}, 1) as q, contains(lower(x), 'ray') or contains(lower(x), 'dalio') as h from v),
+@query(f"""with v as (select page_id, lower(case page_id % 6 {" ".join(f"when {i} then {_quoted(t)}" for i, t in enumerate(_TITLES))} end) as t, lower(case page_id % 5 when 0 then '' when 1 then 'Ada Lovelace sits down with us' when 2 then 'A documentary' when 3 then 'A panel' else 'Thoughts of Ada Lovelace' end) as d, html as x from pages),
+w as (select page_id, {_VT} as vt, {_VD} as vd, {WORDS.format("x")} as n, (length(x) - length(replace(x, '?', ''))) / greatest({WORDS.format("x")}, 1) as q, contains(lower(x), 'ada') or contains(lower(x), 'lovelace') as h from v),
 z as (select page_id, vt, vd, case when n < 200 then (1, 3) when n < 500 then (2, 2) when q > 0.003 and h then (4, 3) when q > 0.003 then (3, 2) when n > 2000 and h then (3, 1) when n > 5000 then (3, 1) else (2, 1) end as vx from w),
 y as (select page_id, vt[1] as a, vt[2] as wa, vd[1] as b, coalesce(vd[2], 0) as wb, vx[1] as c, vx[2] as wc from z)
 select page_id, (a * wa + coalesce(b * wb, 0) + c * wc) / (wa + wb + wc)::double as mean_vote, a as vote_title, b as vote_description, c as vote_transcript, case when len(list_distinct([a, b, c])) = 1 and wa = 3 and wc = 3 then 'high' when len(list_distinct([a, b, c])) <= 2 and cast(wa >= 2 as int) + cast(wb >= 2 as int) + cast(wc >= 2 as int) >= 2 then 'high' when len(list_distinct([a, b, c])) <= 2 then 'medium' else 'low' end as confidence from y""")
 def tsp_predict(spark, sf_dir):
     """Votes of title, description and transcript, and their weighted mean (unrounded here, so that ties can't differ)."""
     title = F.element_at(F.array(*map(F.lit, _TITLES)), (F.col("page_id") % 6 + 1).cast("int"))
-    d = F.expr("case page_id % 5 when 0 then '' when 1 then 'Ray Dalio sits down with us' when 2 then 'A documentary' when 3 then 'A panel' else 'Thoughts of Ray Dalio' end")
-    name = F.lit("ray dalio")
+    d = F.expr("case page_id % 5 when 0 then '' when 1 then 'Ada Lovelace sits down with us' when 2 then 'A documentary' when 3 then 'A panel' else 'Thoughts of Ada Lovelace' end")
+    name = F.lit("ada lovelace")
     v = table(spark, sf_dir, "pages").select("page_id", evidence.vote_title(title, name).alias("vt"), evidence.vote_description(d, name).alias("vd"), evidence.vote_transcript(F.col("html"), name).alias("vx"))
     out = evidence.combined(F.col("vt"), F.col("vd"), F.col("vx"))
     weight = lambda c: F.when(F.col(f"{c}.tsp").isNull(), 0).when(F.col(f"{c}.conf") == "high", 3).when(F.col(f"{c}.conf") == "medium", 2).otherwise(1)

@@ -244,3 +244,47 @@ def lowest_means(spark, sf_dir):
     """The five groups of the lowest mean."""
     rows = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("m"))
     return rows.orderBy("m", "c_nationkey").limit(5).select("c_nationkey", F.round("m", 4).alias("mean"))
+
+
+@query("""with m as (select l_orderkey as k, l_shipmode_ as v from (select l_orderkey, case when l_partkey % 9 = 0 then '' else 'speaker' || l_suppkey end as l_shipmode_, row_number() over (partition by l_orderkey order by l_linenumber desc, l_partkey desc, l_suppkey desc) as rn from lineitem) where rn = 1)
+select o_orderkey, v as speaker from orders join m on o_orderkey = k where v <> ''""")
+def speaker_map(spark, sf_dir):
+    """Facts with the last mapping of their key; those without one, or with an empty one, go."""
+    name = F.when(F.col("l_partkey") % 9 == 0, "").otherwise(F.concat(F.lit("speaker"), F.col("l_suppkey").cast("string")))
+    mapping = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), name.alias("speaker"), "l_linenumber", "l_partkey", "l_suppkey")
+    return relational.assign(table(spark, sf_dir, "orders").select("o_orderkey"), mapping, "o_orderkey", "speaker", ["l_linenumber", "l_partkey", "l_suppkey"])
+
+
+@query("""with b as (select doc_id, (row_number() over (order by doc_id) - 1) // 50 as batch_id, (row_number() over (order by doc_id) - 1) % 50 as rel_idx from documents)
+select doc_id, batch_id, cast(rel_idx as int) as rel_idx, case rel_idx % 2 when 0 then 'positive' else 'negative' end as valence from b where rel_idx % 3 <> 2""")
+def reply_join(spark, sf_dir):
+    """Reply rows to the rows of their batch, by place; the first of several counts."""
+    b = ordered.batches(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], 50)
+    ids = b.select("batch_id").distinct()
+    places = ids.select("batch_id", F.explode(F.sequence(F.lit(0), F.lit(60))).alias("idx")).where("idx % 3 <> 2")
+    valence = F.when(F.col("idx") % 2 == 0, "positive").otherwise("negative")
+    lines = places.select("batch_id", "idx", F.col("idx").alias("line"), valence.alias("valence")).unionByName(places.select("batch_id", "idx", (F.col("idx") + 100).alias("line"), F.lit("neutral").alias("valence")))
+    return relational.match_replies(b, lines).select("doc_id", "batch_id", "rel_idx", "valence")
+
+
+@query("select source, doc_id from (select source, doc_id, row_number() over (partition by source order by doc_id) - 1 as i, greatest(1, count(*) over (partition by source) // 25) as s from documents) where i % s = 0 and i < s * 25")
+def spread_sample(spark, sf_dir):
+    return ordered.spread_sample(table(spark, sf_dir, "documents").select("source", "doc_id"), "source", ["doc_id"], 25)
+
+
+@query("select s_suppkey, row_number() over (order by md5('42:' || s_suppkey), s_suppkey) as place from supplier")
+def seeded_shuffle(spark, sf_dir):
+    """A seeded order, shown by each row's place in it."""
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey").withColumn("h", F.md5(F.concat_ws(":", F.lit("42"), F.col("s_suppkey").cast("string"))))
+    return ordered.running_total(rows, F.lit(1).cast("long"), ["h", "s_suppkey"], "place").select("s_suppkey", "place")
+
+
+@query("select o_orderkey, o_orderdate, o_totalprice from orders order by o_orderdate desc, o_orderkey limit 25")
+def newest_first(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(25)
+
+
+@query("select p_partkey, p_name[:100] as title, p_type[:40] as channel from part where p_size > 10 and p_size < 30")
+def truncated(spark, sf_dir):
+    """A strict range filter and cut columns."""
+    return table(spark, sf_dir, "part").where("p_size > 10 and p_size < 30").select("p_partkey", F.left("p_name", F.lit(100)).alias("title"), F.left("p_type", F.lit(40)).alias("channel"))

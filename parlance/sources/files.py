@@ -160,3 +160,47 @@ def report(df: DataFrame) -> str:
     import json
 
     return json.dumps([r.asDict(recursive=True) for r in df.collect()], ensure_ascii=False, indent=2, default=str)
+
+
+def speakers(spark: SparkSession, path: str) -> DataFrame:
+    """Distinct non-hidden directories that hold a `transcripts` directory with files."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.regexp_extract("path", r"/([^/.][^/]*)/transcripts/[^/]+$", 1).alias("speaker"))
+    return found.where("speaker <> ''").distinct()
+
+
+def crawl_rows(raw: DataFrame, min_seconds: float | None = None, max_seconds: float | None = None) -> DataFrame:
+    """Search hits from landed crawl rows (query_idx, pos and the crawler's fields): titles and channels by fallback, the first hit of an id, newest month first.
+
+    The duration limits are strict; they and the columns reach the scan.
+    """
+    from parlance.functions.text import clock, month
+    from parlance.operators.relational import keep_first
+
+    full = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c))
+    rows = raw.where(full("id").isNotNull())
+    if min_seconds is not None:
+        rows = rows.where(F.col("duration") > min_seconds)
+    if max_seconds is not None:
+        rows = rows.where(F.col("duration") < max_seconds)
+    one = keep_first(rows, ["id"], ["query_idx", "pos"])
+    out = one.select(
+        "id",
+        F.trim(F.coalesce(full("fulltitle"), F.col("title"), F.lit(""))).alias("title"),
+        month(F.col("upload_date")).alias("upload_date"),
+        clock(F.col("duration")).alias("duration"),
+        F.coalesce(full("channel"), full("uploader"), F.lit("")).alias("channel"),
+        F.left(F.coalesce("description", F.lit("")), F.lit(1000)).alias("description"),
+        F.coalesce("language", F.lit("")).alias("language"),
+        "query_idx",
+        "pos",
+    )
+    return out.orderBy(F.desc("upload_date"), "query_idx", "pos").drop("query_idx", "pos")
+
+
+#: Fixed value: what a fetch error says of videos that are gone.
+UNAVAILABLE = r"video unavailable|private video|age.restrict|removed|not available|playback restricted|community guidelines"
+
+
+def fetch_status(error):
+    """unavailable or failed, from what a fetch printed."""
+    return F.when(F.regexp_like(F.lower(error), F.lit(UNAVAILABLE)), "unavailable").otherwise("failed")

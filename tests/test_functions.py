@@ -41,7 +41,7 @@ def test_month(spark, raw, want):
 
 def test_names(spark):
     assert one(spark, text.slug(F.col("t")), t=" Ada O'Neil ") == "ada_o_neil"
-    assert one(spark, text.title_name(F.col("t")), t="mohamed_el-erian") == "Mohamed El-Erian"
+    assert one(spark, text.title_name(F.col("t")), t="anna_el-sayed") == "Anna El-Sayed"
     assert one(spark, text.identity_normal(F.col("t")), t="José  Ñandú, (O'Neil)!") == "jose nandu o'neil"
 
 
@@ -208,7 +208,7 @@ def test_zero_delta(spark):
 
 
 def test_votes(spark):
-    t, d, v = (spark.createDataFrame([("Interview with Ray Dalio", "Ray Dalio sits down with us", "word? ray " * 600)], "t string, d string, v string").select(f(F.col(c), F.lit("ray dalio")).alias("x")).first().x for f, c in ((evidence.vote_title, "t"), (evidence.vote_description, "d"), (evidence.vote_transcript, "v")))
+    t, d, v = (spark.createDataFrame([("Interview with Ada Lovelace", "Ada Lovelace sits down with us", "word? ada " * 600)], "t string, d string, v string").select(f(F.col(c), F.lit("ada lovelace")).alias("x")).first().x for f, c in ((evidence.vote_title, "t"), (evidence.vote_description, "d"), (evidence.vote_transcript, "v")))
     assert (t.tsp, t.conf, d.tsp, d.conf, v.tsp, v.conf) == (4, "high", 4, "high", 4, "high")
     votes = spark.createDataFrame([((3, "medium"), (None, "none"), (2, "low")), ((4, "high"), (4, "high"), (4, "high"))], "a struct<tsp: int, conf: string>, b struct<tsp: int, conf: string>, c struct<tsp: int, conf: string>")
     out = votes.select(*(x.alias(n) for n, x in evidence.combined(F.col("a"), F.col("b"), F.col("c")).items())).collect()
@@ -217,8 +217,8 @@ def test_votes(spark):
 
 
 def test_identity_transcript(spark):
-    df = spark.createDataFrame([("welcome our guest is ray dalio today dalio dalio", "Ray Dalio"), ("nobody here", "Ray Dalio"), ("i am ray dalio", "Ray Dalio")], "t string, d string").withColumn("a", evidence.aliases(F.col("d")))
-    assert df.first().a == ["ray dalio", "dalio", "rd"]
+    df = spark.createDataFrame([("welcome our guest is ada lovelace today lovelace lovelace", "Ada Lovelace"), ("nobody here", "Ada Lovelace"), ("i am ada lovelace", "Ada Lovelace")], "t string, d string").withColumn("a", evidence.aliases(F.col("d")))
+    assert df.first().a == ["ada lovelace", "lovelace", "al"]
     got = [r.x for r in df.select(evidence.transcript_score(F.col("t"), F.col("a"), F.col("d")).alias("x")).collect()]
     assert got == [10, 0, 8]
 

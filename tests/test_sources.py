@@ -3,7 +3,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from parlance.sources import files
 from parlance.streaming import labels
@@ -98,4 +97,30 @@ def test_manifest_stream(spark, tmp_path):
     (src / "b.json").write_text("\n".join(json.dumps({"id": i, "seq": s, "event": e}) for i, s, e in [("a", 2, "done"), ("b", 2, "fail"), ("b", 3, "fail"), ("b", 4, "fail")]))
     run()
     assert seen == {"a": ("done", 0), "b": ("failed", 4)}
-    assert F is not None
+
+
+def test_config():
+    from parlance.sources import config
+
+    env = {"SET": "1"}
+    config.dotenv("# note\nA=x y \nB = \"q=1\"\nSET=2\nnothing\nC='z'\nD=\n", env)
+    assert env == {"SET": "1", "A": "x y", "B": "q=1", "C": "z", "D": ""}
+    assert config.output_name("p", "/x/sample_manifest_0.01_v3.jsonl") == "p_annotations_default_0.01_v3.jsonl"
+    assert config.output_name("p", "own.jsonl", thinking=True) == "p_annotations_thinking_own.jsonl"
+    assert config.provider_parameters("reasoning", True) == {"reasoning": {"effort": "xhigh"}} and config.provider_parameters(None, True) == {}
+
+
+def test_crawl_rows(spark):
+    rows = [(0, 0, "a", None, " T ", "20240105", 61.0, "", "up", "d", None), (1, 0, "a", "other", "x", "20240105", 61.0, "c", "u", "d", "en"), (1, 1, "b", "Full", "t", "2024-03-01", 4000.0, "ch", "u", None, "en"), (1, 2, "", "n", "n", "", 61.0, "", "", "", ""), (1, 3, "c", "n", "n", "", 10.0, "", "", "", "")]
+    raw = spark.createDataFrame(rows, "query_idx int, pos int, id string, fulltitle string, title string, upload_date string, duration double, channel string, uploader string, description string, language string")
+    got = [tuple(r) for r in files.crawl_rows(raw, min_seconds=10).collect()]
+    assert got == [("b", "Full", "2024-03", "1:06:40", "ch", "", "en"), ("a", "T", "2024-01", "1:01", "up", "d", "")]
+    errors = spark.createDataFrame([("ERROR: Video unavailable",), ("timeout",)], "e string")
+    assert [r[0] for r in errors.select(files.fetch_status(errors.e)).collect()] == ["unavailable", "failed"]
+
+
+def test_speakers(spark, tmp_path):
+    for d, sub in (("ann", "transcripts"), (".hidden", "transcripts"), ("bob", "audio")):
+        (tmp_path / d / sub).mkdir(parents=True)
+        (tmp_path / d / sub / "f.txt").write_text("x")
+    assert [r.speaker for r in files.speakers(spark, str(tmp_path)).collect()] == ["ann"]
