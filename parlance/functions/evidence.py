@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parlance.functions.text import contains_any, identity_normal, word_count
+from parlance.functions.text import contains_any, identity_normal, let, word_count
 from parlance.operators.relational import first_match
 
 # Patterns of descriptions that aren't by the speaker, in the order in which they count.
@@ -79,6 +79,10 @@ def _near(text: Column, names: Column, patterns: list[str], reach: int, back: in
 
 def transcript_score(text: Column, names: Column, display: Column) -> Column:
     """Points for introductions, an early full name and repeated aliases in a normalised transcript."""
+    return let(text, lambda t: _transcript_score(t, names, display))
+
+
+def _transcript_score(text: Column, names: Column, display: Column) -> Column:
     early = F.substring(text, 1, 8000)
     long_names = F.filter(names, lambda a: F.char_length(a) >= 4)
     hits = F.coalesce(F.array_max(F.transform(long_names, lambda a: F.regexp_count(text, F.concat(F.lit(r"\b"), a, F.lit(r"\b"))))), F.lit(0))

@@ -85,13 +85,25 @@ def column_name(category: str) -> str:
     return re.sub(r"[^a-z]+", "_", category.lower()).strip("_")
 
 
+def _any_of(patterns: list[str]) -> str:
+    """One pattern that holds wherever one of these does; the word boundary that most begin with is tested once."""
+    plain = [p[2:] for p in patterns if p.startswith(r"\b") and "|" not in re.sub(r"\([^()]*(\([^()]*\)[^()]*)*\)", "", p)]
+    rest = [p for p in patterns if p[2:] not in plain]
+    return "|".join([r"\b(?:" + "|".join(plain) + ")", *rest])
+
+
+def any_hit(text: Column) -> Column:
+    """Whether a text has a match of any pattern: false for most sentences, and then all counts are 0."""
+    return F.regexp_like(text, F.lit(_any_of([p for ps in CATEGORIES.values() for p in ps])))
+
+
 def raw_count(text: Column, category: str) -> Column:
     """Matches of all patterns; texts without any match cost one search for the whole category."""
     patterns = CATEGORIES[category]
     total = F.lit(0)
     for p in patterns:
         total = total + F.regexp_count(text, F.lit(p))
-    return F.when(F.regexp_like(text, F.lit("|".join(patterns))), total).otherwise(F.lit(0))
+    return F.when(F.regexp_like(text, F.lit(_any_of(patterns))), total).otherwise(F.lit(0))
 
 
 def negated_words(text: Column) -> Column:
@@ -102,8 +114,12 @@ def _among(found: Column, wanted: list[str]) -> Column:
     return F.size(F.filter(found, lambda w: w.isin(wanted))) if wanted else F.lit(0)
 
 
-def counts(text: Column) -> dict[str, Column]:
-    """Counts by category of cleaned text, after negation: a negated positive word leaves its category (down to 0) and counts as decline."""
+def counts(text: Column, hit: Column | None = None) -> dict[str, Column]:
+    """Counts by category of cleaned text, after negation: a negated positive word leaves its category (down to 0) and counts as decline.
+
+    hit is a materialised column of any_hit, so that texts without a match cost one search.
+    """
+    hit = any_hit(text) if hit is None else hit
     negated, map_ = negated_words(text), negated_categories()
     hits = {c: _among(negated, ws) for c, ws in map_.items()}
     out = {}
@@ -114,7 +130,7 @@ def counts(text: Column) -> dict[str, Column]:
         if c == NEGATED_INTO:
             for h in hits.values():
                 n = n + h
-        out[column_name(c)] = n
+        out[column_name(c)] = F.when(hit, n).otherwise(F.lit(0))
     return out
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ SENTENCE_BREAK = r"""(?<=[.!?])\s+(?=[A-Z"'(])"""
 LOOSE_BREAK = r"(?<=[.!?])\s+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once; inside a lambda an expression would be computed anew for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(text: Column) -> Column:
     """Without white space at either end, line breaks included (trim leaves those)."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")
@@ -93,8 +100,12 @@ def share(part: Column, whole: Column) -> Column:
 
 def ngrams(items: Column, n: int) -> Column:
     """Runs of n items, joined by spaces; none if there are fewer."""
-    at = F.when(F.size(items) >= n, F.sequence(F.lit(1), F.size(items) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.array_join(F.slice(items, i, n), " "))
+
+    def runs(a: Column) -> Column:
+        at = F.when(F.size(a) >= n, F.sequence(F.lit(1), F.size(a) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.array_join(F.slice(a, i, n), " "))
+
+    return let(items, runs)
 
 
 def excerpt(text: Column, needle: Column, radius: int = 130) -> Column:

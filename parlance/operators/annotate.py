@@ -18,8 +18,8 @@ KEY = ["video_id", "sentence_index"]
 
 def by_lexicon(samples: DataFrame) -> DataFrame:
     """samples with valence and modality by keyword rules, inside the JVM."""
-    clean = samples.withColumn("__t", text.keyword_clean(F.col("text")))
-    counts = clean.withColumns({f"{c}": n for c, n in lexicon.counts(F.col("__t")).items()})
+    clean = samples.withColumn("__t", text.keyword_clean(F.col("text"))).withColumn("__hit", lexicon.any_hit(F.col("__t")))
+    counts = clean.withColumns(lexicon.counts(F.col("__t"), F.col("__hit")))
     return counts.select(*samples.columns, lexicon.valence().alias("valence"), lexicon.modality(lexicon.certainty()).alias("modality"))
 
 

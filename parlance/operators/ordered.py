@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from parlance.functions.text import let
+
 
 def running_total(df: DataFrame, value: Column, order: list[str], name: str) -> DataFrame:
     """df with the sum of `value` over all rows up to each, in a total order, without bringing all rows together.
@@ -101,7 +103,7 @@ def gaps(df: DataFrame, group: str, start: str, end: str, order: list[str], gap_
 
 def dedup_consecutive(lines: Column) -> Column:
     """An array of lines without those equal to the line before."""
-    return F.filter(lines, lambda x, i: (i == 0) | (x != F.get(lines, i - 1)))
+    return let(lines, lambda a: F.filter(a, lambda x, i: (i == 0) | (x != F.get(a, i - 1))))
 
 
 # Fixed values of the line fold: abbreviations that a line may end in, words that never end a sentence, and the patterns.

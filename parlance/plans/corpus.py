@@ -50,8 +50,8 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored(df: DataFrame, column: str, *keep: str) -> DataFrame:
     """`keep` columns, cleaned text and counts by category, each computed once."""
-    clean = df.select(*keep, text.keyword_clean(F.col(column)).alias("t"))
-    return clean.select(*keep, "t", *(n.cast("long").alias(c) for c, n in lexicon.counts(F.col("t")).items()))
+    clean = df.select(*keep, text.keyword_clean(F.col(column)).alias("t")).withColumn("hit", lexicon.any_hit(F.col("t")))
+    return clean.select(*keep, "t", *(n.cast("long").alias(c) for c, n in lexicon.counts(F.col("t"), F.col("hit")).items()))
 
 
 def labelled(df: DataFrame, column: str, *keep: str) -> DataFrame:
