@@ -173,33 +173,37 @@ def common_prefix_gaps(s: np.ndarray, order: np.ndarray, place: np.ndarray, leas
     n = len(s)
     set_ = np.zeros(n + 1, bool)
     set_[0] = set_[n] = True
-    before = np.where(order > 0, s[order - 1], -1)  # the transform
-    image = np.where(order > 0, place[order - 1], -1)  # where the suffix goes when extended to the left
-    lo, hi = np.array([0]), np.array([n])
-    for _ in range(least):
+    # the first symbol of an extended suffix is the transform's symbol of the suffix it extends
+    first_symbol = s[order].astype(np.int32)
+    image = np.where(order > 0, place[order - 1], -1).astype(np.int32)  # where the suffix goes when extended to the left
+    lo, hi = np.array([0], np.int32), np.array([n], np.int32)
+    last = np.int32(place[n - 1])  # the last symbol's suffix extends the empty one, which the order leaves out
+    for length in range(least):
         size = hi - lo
-        at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
-        q = np.repeat(np.arange(len(lo)), size)
-        ok = before[at] >= 0
-        at, q = at[ok], q[ok]
-        if not len(at):
+        alone = size == 1
+        # an interval of one suffix has one extension
+        left = image[lo[alone]]
+        left = left[left >= 0]
+        right = left + 1
+        lo, hi, size = lo[~alone], hi[~alone], size[~alone]
+        if len(lo):
+            at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size, dtype=np.int64) - size - lo, size)
+            to = image[at]
+            key = np.repeat(np.arange(len(lo), dtype=np.int64), size) * (n + 1) + to
+            key = np.sort(key[to >= 0])
+            to = key % (n + 1)
+            new = exchange._groups(key // (n + 1), first_symbol[to]) if len(key) else np.zeros(0, bool)
+            heads = np.flatnonzero(new)
+            left = np.concatenate([left, to[heads].astype(np.int32)])
+            right = np.concatenate([right, to[np.append(heads[1:], len(to)) - 1].astype(np.int32) + 1]) if len(heads) else right
+        if length == 0:
+            left, right = np.append(left, last), np.append(right, last + np.int32(1))
+        # the end of an extension is the end of no other one of this length, so that none comes twice
+        fresh = ~set_[right]
+        lo, hi = left[fresh], right[fresh]
+        if not len(lo):
             break
-        to = image[at]
-        turn = np.argsort(q * np.int64(n + 1) + to)
-        to, q, c = to[turn], q[turn], before[at][turn]
-        new = exchange._groups(q, c)
-        left = to[new]
-        right = to[np.append(np.flatnonzero(new)[1:], len(to)) - 1] + 1
-        fresh = ~set_[right] | ~set_[left]
-        left, right = left[fresh], right[fresh]
-        if not len(left):
-            break
-        set_[left] = set_[right] = True
-        lo, hi = left, right
-        keep = hi - lo > 0
-        lo, hi = lo[keep], hi[keep]
-        key = np.unique(lo * np.int64(n + 1) + hi)
-        lo, hi = key // (n + 1), key % (n + 1)
+        set_[hi] = True
     return set_[:n]
 
 
@@ -222,7 +226,7 @@ def repeated_starts(texts: list[np.ndarray], least: int = LENGTH) -> list[np.nda
 
 
 #: Bytes of contexts that one suffix array takes, but for the contexts of one core, which stay together.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 256 << 10
 
 
 def resolve(q: dict[str, np.ndarray]):
