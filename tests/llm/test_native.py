@@ -26,11 +26,10 @@ def test_measures(docs, rows, real, nothing):
 def test_thresholds_adapt(spark):
     """A source whose texts all have many symbols keeps them; the same share is odd in another source."""
     clean, noisy = "word " * 30, "wo#d " * 30
-    uniq = lambda i, t: t.replace("d ", f"d{i} ")
     data = [(i, " ".join(f"{w}{i}{j}" for j, w in enumerate((clean if i % 2 else noisy).split())), "en", "plain" if i % 2 else "code") for i in range(600)]
     data.append((600, " ".join(f"wo#d{j}" for j in range(30)), "en", "plain"))
     out = {r.doc_id: r.kept for r in quality_rules.verdicts(spark.createDataFrame(data, "doc_id long, text string, lang string, source string")).collect()}
-    assert out[600] is False and all(v for k, v in out.items() if k < 600) and uniq
+    assert out[600] is False and all(v for k, v in out.items() if k < 600)
 
 
 def test_sketch_bucket(spark):
