@@ -36,8 +36,9 @@ def _seeded(seed: int, keys: list[str]) -> Column:
 def stratified_sample(df: DataFrame, stratum: str, keys: list[str], fraction: float, seed: int = 42) -> DataFrame:
     """max(1, floor(n * fraction)) rows of each stratum, those of the least seeded hash.
 
-    The sort by stratum has the hash cut first: rows whose hash stands far above the fraction can't be among the least, so that a
-    large stratum sends its sample and a margin rather than all its rows.
+    Before the sort, rows whose hash stands over twelve standard deviations above the
+    fraction are dropped: none of them can be among the least but at odds below 1e-20, and a large stratum sends
+    its sample and a margin rather than all its rows.
     """
     n = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("__n"))
     h = _seeded(seed, keys)
