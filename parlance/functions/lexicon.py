@@ -89,7 +89,11 @@ def _any_of(patterns: list[str]) -> str:
     """One pattern that holds wherever one of these does; the word boundary that most begin with is tested once."""
     plain = [p[2:] for p in patterns if p.startswith(r"\b") and "|" not in re.sub(r"\([^()]*(\([^()]*\)[^()]*)*\)", "", p)]
     rest = [p for p in patterns if p[2:] not in plain]
-    return "|".join([r"\b(?:" + "|".join(plain) + ")", *rest])
+    by_letter: dict[str, list[str]] = {}  # so that a word is tried against the patterns of its first letter alone
+    for p in dict.fromkeys(plain):
+        by_letter.setdefault(p[0] if p[0].isalpha() and p[1:2] not in ("?", "*", "+", "{") else "", []).append(p)
+    grouped = [c + "(?:" + "|".join(p[len(c) :] for p in ps) + ")" for c, ps in by_letter.items()]
+    return "|".join([r"\b(?:" + "|".join(grouped) + ")", *rest])
 
 
 def any_hit(text: Column) -> Column:

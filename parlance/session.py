@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "parlance", cpus: int | None = None, memory: str = "8g") -> SparkSession:
@@ -21,3 +21,14 @@ def local_session(app: str = "parlance", cpus: int | None = None, memory: str =
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan that fills less than a split a core, dealt out over all cores; a larger scan as it is.
+
+    For expensive work on small files, whose row groups are their only splits. What moves is at most a split a core.
+    """
+    spark = scan.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return scan.repartition(cores) if size < cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() else scan
