@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parlance.session import spread
+
 #: Bytes of text that the NumPy code handles at once; bounds the memory of a worker.
 CHUNK_BYTES = 2 << 20
 #: The folder of this process, for local mode alone.
@@ -20,7 +22,9 @@ _LOCAL: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table as it is read; documents over all cores."""
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(scan) if name == "documents" else scan
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
