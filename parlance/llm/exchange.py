@@ -3,7 +3,7 @@
 Both repeat operators share this course. Every window of a text belongs to an
 anchor that its content alone selects, so that equal windows have equal anchors.
 
-1. Each batch of texts lists its entries: an anchor, and the context (the text of
+1. Each batch of texts (a partition, or some 80 MB of one) lists its entries: an anchor, and the context (the text of
    the run of windows that belong to it). Within the batch, equal contexts are reduced to their
    first, so that a text of a third of all rows is one entry a batch.
 2. Entries meet by anchor. Equal contexts settle each other at once; only where
@@ -38,6 +38,8 @@ ASK, REPEATED, REPEATED_ASK = 1, 2, 3
 #: Flags of an entry: the only one of its context in the batch; the first of several; one after the first;
 #: that the anchor is hot; HOT is added where the entry belongs to a hot anchor.
 ONLY, FIRST, LATER, MARK, HOT = 0, 1, 2, 3, 8
+#: Entries that a task holds before it reduces and sends them: some 80 MB of text, or its whole partition.
+HELD_ENTRIES = 2_000_000
 #: Contexts of an anchor in one batch that make it hot.
 HOT_CONTEXTS = 64
 
@@ -148,33 +150,43 @@ def deduplicated(docs: DataFrame, op: Repeats, texts: bool = False, keep: list[s
     kept_types = [(f"k{i}", docs.schema[c].dataType.simpleString()) for i, c in enumerate(keep)]
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        n_held = 0
         for b in pieces(batches):
             e = op.find(texts_of(b.column(1)))
-            if not len(e.doc):
-                continue
-            ids, at, anchor, ctx = _ids(b.column(0))[e.doc], e.lo.astype(np.int64), e.anchor, e.ctx
-            order = np.lexsort((at, ids, ctx, anchor))
-            ids, at, anchor, ctx = ids[order], at[order], anchor[order], ctx[order]
-            first = _groups(anchor, ctx)
-            head = np.flatnonzero(first)[np.cumsum(first) - 1]
-            same = (ids == ids[head]) & (at == at[head])
-            size = np.diff(np.append(np.flatnonzero(first), len(first)))
-            differs = np.add.reduceat((~same).astype(np.int64), np.flatnonzero(first))
-            many = size > 1 if op.same_place_counts else differs > 0
-            flag = np.where(first, np.where(np.repeat(many, size), FIRST, ONLY), LATER).astype(np.uint8)
-            on = first | ~same
-            new = _groups(anchor)
-            contexts = np.add.reduceat(first.astype(np.int64), np.flatnonzero(new))[np.cumsum(new) - 1]
-            hot = contexts > HOT_CONTEXTS
-            told = new & hot  # one mark for each hot anchor, which goes to the anchor's bucket
-            home = (anchor >> np.uint64(33)) % np.uint64(n)
-            away = (mix(anchor ^ ctx) >> np.uint64(33)) % np.uint64(n)
-            key = np.concatenate([np.where(hot, away, home)[on], home[told]]).astype(np.int64)
-            flag = flag + (HOT * hot).astype(np.uint8)
-            mark = np.full(int(told.sum()), MARK, np.uint8)
-            cols = {c: np.concatenate([v[on], v[told]]) for c, v in (("id", ids), ("at", at), ("anchor", anchor), ("ctx", ctx))} | {"flag": np.concatenate([flag[on], mark])}
-            made = list(_cut(labels[key], cols, _PACKED))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in made], pa.int32()), *(pa.array([v[c] for _, v in made], pa.binary()) for c in cols)], names=["bucket", *cols])
+            if len(e.doc):
+                held.append((_ids(b.column(0))[e.doc], e.lo.astype(np.int64), e.anchor, e.ctx))
+                n_held += len(e.doc)
+            if n_held >= HELD_ENTRIES:
+                yield reduced(*(np.concatenate(x) for x in zip(*held)))
+                held, n_held = [], 0
+        if held:
+            yield reduced(*(np.concatenate(x) for x in zip(*held)))
+
+    def reduced(ids: np.ndarray, at: np.ndarray, anchor: np.ndarray, ctx: np.ndarray) -> pa.RecordBatch:
+        """Entries of a batch with equal contexts settled among themselves, a row for each bucket."""
+        order = np.lexsort((at, ids, ctx, anchor))
+        ids, at, anchor, ctx = ids[order], at[order], anchor[order], ctx[order]
+        first = _groups(anchor, ctx)
+        head = np.flatnonzero(first)[np.cumsum(first) - 1]
+        same = (ids == ids[head]) & (at == at[head])
+        size = np.diff(np.append(np.flatnonzero(first), len(first)))
+        differs = np.add.reduceat((~same).astype(np.int64), np.flatnonzero(first))
+        many = size > 1 if op.same_place_counts else differs > 0
+        flag = np.where(first, np.where(np.repeat(many, size), FIRST, ONLY), LATER).astype(np.uint8)
+        on = first | ~same
+        new = _groups(anchor)
+        contexts = np.add.reduceat(first.astype(np.int64), np.flatnonzero(new))[np.cumsum(new) - 1]
+        hot = contexts > HOT_CONTEXTS
+        told = new & hot  # one mark for each hot anchor, which goes to the anchor's bucket
+        home = (anchor >> np.uint64(33)) % np.uint64(n)
+        away = (mix(anchor ^ ctx) >> np.uint64(33)) % np.uint64(n)
+        key = np.concatenate([np.where(hot, away, home)[on], home[told]]).astype(np.int64)
+        flag = flag + (HOT * hot).astype(np.uint8)
+        mark = np.full(int(told.sum()), MARK, np.uint8)
+        cols = {c: np.concatenate([v[on], v[told]]) for c, v in (("id", ids), ("at", at), ("anchor", anchor), ("ctx", ctx))} | {"flag": np.concatenate([flag[on], mark])}
+        made = list(_cut(labels[key], cols, _PACKED))
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in made], pa.int32()), *(pa.array([v[c] for _, v in made], pa.binary()) for c in cols)], names=["bucket", *cols])
 
     def entries_in(t: pa.Table) -> dict[str, np.ndarray]:
         got = {c: _joined(t, c, _PACKED) for c in ("id", "at", "anchor", "ctx", "flag")}
