@@ -61,13 +61,13 @@ def labelled(df: DataFrame, column: str, *keep: str) -> DataFrame:
 
 @query(f"select doc_id, {WORDS.format('text')} as n_words from documents where {WORDS.format('text')} between 50 and 400")
 def word_filter(spark, sf_dir):
-    n = text.word_count(F.col("text"))
+    n = text.word_count(F.col("text")).cast("long")
     return table(spark, sf_dir, "documents").select("doc_id", n.alias("n_words")).where("n_words between 50 and 400")
 
 
 @query(f"with {SENTENCES} select doc_id, idx, s as sentence, n_words from (select *, {WORDS.format('s')} as n_words from sent) where n_words between 6 and 80")
 def sentence_split(spark, sf_dir):
-    rows = sentences(spark, sf_dir).select("doc_id", F.col("idx").cast("long").alias("idx"), F.col("s").alias("sentence"), text.word_count(F.col("s")).alias("n_words"))
+    rows = sentences(spark, sf_dir).select("doc_id", F.col("idx").cast("long").alias("idx"), F.col("s").alias("sentence"), text.word_count(F.col("s")).cast("long").alias("n_words"))
     return rows.where("n_words between 6 and 80")
 
 
@@ -206,7 +206,7 @@ select doc_id, len(l) as n_lines, len(list_filter(l, lambda x, i: i = 1 or x <>
 def consecutive_dedup(spark, sf_dir):
     lines = F.filter(F.transform(F.split("text", "\n"), text.squeeze), lambda x: x != "")
     rows = table(spark, sf_dir, "documents").select("doc_id", lines.alias("l"))
-    return rows.select("doc_id", F.size("l").alias("n_lines"), F.size(ordered.dedup_consecutive(F.col("l"))).alias("n_kept"))
+    return rows.select("doc_id", F.size("l").cast("long").alias("n_lines"), F.size(ordered.dedup_consecutive(F.col("l"))).cast("long").alias("n_kept"))
 
 
 @query(r"""with l as (select page_id, list_filter(list_transform(string_split(html, chr(10)), lambda x: regexp_replace(regexp_replace(regexp_replace(x, '<[^>]+>', '', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')), lambda x: x <> '') as l from pages),
@@ -215,7 +215,7 @@ def markup_strip(spark, sf_dir):
     """Tags off each line, blank lines and lines equal to the one before dropped."""
     lines = F.filter(F.transform(F.split("html", "\n"), lambda x: text.squeeze(F.regexp_replace(x, "<[^>]+>", ""))), lambda x: x != "")
     rows = table(spark, sf_dir, "pages").select("page_id", lines.alias("l")).select("page_id", ordered.dedup_consecutive(F.col("l")).alias("k"))
-    return rows.select("page_id", F.size("k").alias("n_lines"), F.array_join("k", " ").alias("text"))
+    return rows.select("page_id", F.size("k").cast("long").alias("n_lines"), F.array_join("k", " ").alias("text"))
 
 
 @query(f"select lang, cast(sum(w) as bigint) as total_words, round(avg(w), 4) as mean_words, round(median(w), 4) as median_words, round(sum(w) / 150.0, 4) as minutes, round(sum(w) / 150.0 * 0.015, 4) as hosted_cost, round(sum(w) / 150.0 / 90.0 / 60.0 * 0.35 * 0.24, 6) as local_cost from (select lang, {WORDS.format('text')} as w from documents) group by lang")
@@ -248,5 +248,5 @@ def excerpts(spark, sf_dir):
 @query(f"with {SENTENCES} select doc_id, idx, {WORDS.format('s')} as n_words from sent where {WORDS.format('s')} >= 61")
 def long_addresses(spark, sf_dir):
     """Where the sentences of 61 words or more stand."""
-    rows = sentences(spark, sf_dir).select("doc_id", F.col("idx").cast("long").alias("idx"), text.word_count(F.col("s")).alias("n_words"))
+    rows = sentences(spark, sf_dir).select("doc_id", F.col("idx").cast("long").alias("idx"), text.word_count(F.col("s")).cast("long").alias("n_words"))
     return rows.where("n_words >= 61")

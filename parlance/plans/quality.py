@@ -84,10 +84,10 @@ OVERALL = "0.3 * text_score + 0.35 * diarization_score + 0.2 * temporal_score +
 
 
 @query(f"""with {SEG}, {TEXT}, {DIAR}, {TIME}, {ANOM}, o as (select file, text_score, diarization_score, temporal_score, anomaly_score, round({OVERALL}, 6) as v, string_split(concat_ws(',', nullif(text_flags, ''), nullif(diarization_flags, ''), nullif(temporal_flags, ''), nullif(anomaly_flags, '')), ',') as f from tq join dq using (file) join gq using (file) join aq using (file))
-select file, text_score, diarization_score, temporal_score, anomaly_score, round(v, 2) as overall_score, case when v >= 80 then 'GOOD' when v >= 60 then 'FAIR' when v >= 40 then 'POOR' else 'BAD' end as grade, len(list_filter(f, lambda k: starts_with(k, 'FAIL'))) as fails, len(list_filter(f, lambda k: starts_with(k, 'WARN'))) as warns from o""")
+select file, text_score, diarization_score, temporal_score, anomaly_score, round(cast(v as double), 2) as overall_score, case when v >= 80 then 'GOOD' when v >= 60 then 'FAIR' when v >= 40 then 'POOR' else 'BAD' end as grade, len(list_filter(f, lambda k: starts_with(k, 'FAIL'))) as fails, len(list_filter(f, lambda k: starts_with(k, 'WARN'))) as warns from o""")
 def overall_grade(spark, sf_dir):
     s = segments(spark, sf_dir)
-    return seg.overall_grade(s, durations(s))
+    return seg.overall_grade(s, durations(s)).withColumns({c: F.col(c).cast("long") for c in ("fails", "warns")})
 
 
 @query(f"""with {SEG}, {TEXT}, {DIAR}, {TIME}, {ANOM}, o as (select round(cast({OVERALL} as double), 2) as v from tq join dq using (file) join gq using (file) join aq using (file)),

@@ -210,7 +210,7 @@ def chunking(spark, sf_dir):
     from parlance.operators.segments import chunks
 
     files = table(spark, sf_dir, "part").select((F.col("p_size").cast("double") * 400).alias("duration")).distinct().withColumn("file", F.col("duration"))
-    return chunks(files).select(F.col("file").alias("file_duration"), F.col("chunk").cast("int").alias("chunk"))
+    return chunks(files).select(F.col("file").alias("file_duration"), F.col("chunk").cast("long").alias("chunk"))
 
 
 @query("""with e as (select l_orderkey % 500 as id, row_number() over (partition by l_orderkey % 500 order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) as seq, case when l_returnflag = 'R' then 'fail' when l_linestatus = 'O' then 'done' else 'start' end as ev from lineitem),
