@@ -68,6 +68,13 @@ def bag_union(spark, sf_dir):
     return first.unionByName(table(spark, sf_dir, "customer").where("c_custkey <= 100").select(F.lit(2).alias("part"), F.col("c_name").alias("name")))
 
 
+@query("select 1 as part, s_name as name from supplier union all select 2, c_name from customer")
+def bag_union_whole(spark, sf_dir):
+    """Two whole lists, one before the other, repeats kept; bag_union and its twin take the second one's first rows only."""
+    first = table(spark, sf_dir, "supplier").select(F.lit(1).alias("part"), F.col("s_name").alias("name"))
+    return first.unionByName(table(spark, sf_dir, "customer").select(F.lit(2).alias("part"), F.col("c_name").alias("name")))
+
+
 TIMED = "select event_id, user_id, event_type, epoch_us(ts) / 1e6 as s, epoch_us(ts) / 1e6 + coalesce(value, 0) * 60 as e from events"
 
 
