@@ -166,6 +166,12 @@ def rule_classifier(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "lang", d.alias("d")).select("doc_id", evidence.exclusion(F.col("d"), F.col("lang")).alias("reason"))
 
 
+@query(f"select doc_id, {RULE_SQL} as reason from (select doc_id, lang as l, text as d from documents)")
+def rule_classifier_whole(spark, sf_dir):
+    """The first description rule that holds for a document's own, whole text, else the language; rule_classifier and its twin judge one in eight by its first 1,000 characters."""
+    return table(spark, sf_dir, "documents").select("doc_id", evidence.exclusion(F.col("text"), F.col("lang")).alias("reason"))
+
+
 @query(f"with {SENTENCES}, h as (select case when w <= 5 then '1-5' when w <= 15 then '6-15' when w <= 30 then '16-30' when w <= 60 then '31-60' when w <= 100 then '61-100' else '101+' end as bucket from (select {WORDS.format('s')} as w from sent)) select bucket, count(*) as n from h group by all")
 def histogram(spark, sf_dir):
     """Sentences by length; empty buckets don't show."""

@@ -1,6 +1,9 @@
 """Queries that cover whole tables, without a choice of rows by id."""
 
-from parlance.plans import catalogue
+from pyspark.sql import functions as F
+
+from parlance.functions import evidence
+from parlance.plans import catalogue, corpus
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,3 +16,18 @@ def test_bag_union_whole(spark):
     rows = catalogue.QUERIES["bag_union_whole"](spark, SF).groupBy("part").count().collect()
     assert size(spark, "customer") > 100
     assert {r.part: r["count"] for r in rows} == {1: size(spark, "supplier"), 2: size(spark, "customer")}
+
+
+def test_canned_descriptions(spark):
+    want = ["repost_documentary", "about_person_not_by", "news_report_about", "doc_trope", "about_person_not_by", "", "lang:de"]
+    rows = list(zip(corpus._DESCRIPTIONS, ["en"] * 6 + ["DE"], want))
+    df = spark.createDataFrame(rows, "d string, l string, want string")
+    assert [r.got for r in df.select(evidence.exclusion(F.col("d"), F.col("l")).alias("got")).collect()] == want
+
+
+def test_rule_classifier_whole(spark, tmp_path):
+    """A rule's phrase counts in every document, and behind character 1,000."""
+    rows = [(i, "x " * 800 + "the untold story", "en", "s") for i in range(8)] + [(8, None, "fr", "s"), (9, "plain", None, "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.reason for r in catalogue.QUERIES["rule_classifier_whole"](spark, str(tmp_path)).collect()}
+    assert got == {i: "doc_trope" for i in range(8)} | {8: "lang:fr", 9: ""}
