@@ -261,7 +261,8 @@ def deduplicated(docs: DataFrame, op: Repeats, texts: bool = False, keep: list[s
         every = np.flatnonzero(np.isin(ids, got["id"])) if len(got["id"]) else np.zeros(0, np.int64)
         key = lambda i, a, c: mix(mix(i.astype(np.int64).view(np.uint64)) + a.astype(np.int64).view(np.uint64)) ^ c
         have = key(got["id"], got["at"], got["ctx"])
-        order = np.argsort(have)
+        # repeated rows of several batches have a reply each, of equal keys: the highest code, which asks, comes first and counts
+        order = np.lexsort((~got["code"], have))
         have, codes = have[order], got["code"][order]
         # texts that share a doc_id are told apart by a version in the high bits of a place
         versions = np.zeros(len(raw), np.int64)
