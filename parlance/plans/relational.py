@@ -105,6 +105,17 @@ def upsert_refresh(spark, sf_dir):
     return relational.upsert(search, stored, ["id", "speaker"], ["title", "channel"], ["description"])
 
 
+@query("""with s as (select c_custkey as id, 'speaker' || c_nationkey % 5 as speaker, case when c_mktsegment = 'BUILDING' then '' else c_name end as title, case when c_acctbal >= 0 then c_mktsegment end as channel, case when c_acctbal > 5000 then 'new description' end as description from customer),
+x as (select s_suppkey as id, 'speaker' || s_nationkey % 5 as speaker, 'old ' || s_name as title, 'old channel' as channel, case when s_acctbal > 5000 then 'old description' else '' end as description, case when s_acctbal < 0 then 'filtered' end as status from supplier)
+select s.id, s.speaker, coalesce(nullif(s.title, ''), x.title) as title, coalesce(nullif(s.channel, ''), x.channel) as channel, coalesce(nullif(x.description, ''), s.description) as description, x.status from s left join x on s.id = x.id and s.speaker = x.speaker""")
+def upsert_refresh_whole(spark, sf_dir):
+    """All customers as a search list over all suppliers as the stored list; upsert_refresh and its twin take both sides by customer keys."""
+    speaker = lambda c: f"concat('speaker', {c} % 5) speaker"
+    search = table(spark, sf_dir, "customer").selectExpr("c_custkey id", speaker("c_nationkey"), "case when c_mktsegment = 'BUILDING' then '' else c_name end title", "case when c_acctbal >= 0 then c_mktsegment end channel", "case when c_acctbal > 5000 then 'new description' end description")
+    stored = table(spark, sf_dir, "supplier").selectExpr("s_suppkey id", speaker("s_nationkey"), "concat('old ', s_name) title", "'old channel' channel", "case when s_acctbal > 5000 then 'old description' else '' end description", "case when s_acctbal < 0 then 'filtered' end status")
+    return relational.upsert(search, stored, ["id", "speaker"], ["title", "channel"], ["description"])
+
+
 @query("""select doc_id, coalesce(nullif(d.lang, ''), m.lang) as language, case when d.text is null and m.lang is null then 'passed' when coalesce(d.lang, m.lang) <> 'en' then 'lang' when m.url like '%/1%' then 'url' else 'kept' end as verdict
 from documents d left join (select page_id, url, 'en' as lang from pages) m on m.page_id = d.doc_id""")
 def metadata_fallback(spark, sf_dir):
@@ -128,6 +139,19 @@ def manifest_reconcile(spark, sf_dir):
     return relational.counted(out, "action", ["done", "keep", "new", "missing", "failed"])
 
 
+@query("""with f as (select id, max(a) a, max(b) b, max(c) c, max(d) d from (
+select o_orderkey id, 1 a, 0 b, 0 c, 0 d from orders union all select l_orderkey, 0, 1, 0, 0 from lineitem where l_quantity > 45 union all select o_orderkey, 0, 0, 1, 0 from orders where o_orderstatus = 'F' and o_orderpriority = '1-URGENT' union all select l_orderkey, 0, 0, 1, 0 from lineitem where l_returnflag = 'A' and l_linestatus = 'F' and l_quantity > 40 union all select o_orderkey, 0, 0, 0, 1 from orders where o_orderstatus <> 'P') group by id),
+x as (select case when c = 1 then 'done' when a = 1 and b = 1 and d = 1 then 'keep' when a = 1 and b = 1 then 'new' else 'missing' end as action from f)
+select action, count(x.action) as n from (values ('done'), ('keep'), ('new'), ('missing'), ('failed')) k(action) left join x using (action) group by action""")
+def manifest_reconcile_whole(spark, sf_dir):
+    """As manifest_reconcile, with the done sets and the manifest by status, priority and flags instead of by order keys."""
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    ids = lambda df, c: df.select(F.col(c).alias("id"))
+    done = [ids(orders.where("o_orderstatus = 'F' and o_orderpriority = '1-URGENT'"), "o_orderkey"), ids(lines.where("l_returnflag = 'A' and l_linestatus = 'F' and l_quantity > 40"), "l_orderkey")]
+    out = relational.reconcile(ids(orders, "o_orderkey"), ids(lines.where("l_quantity > 45"), "l_orderkey"), done, ids(orders.where("o_orderstatus <> 'P'"), "o_orderkey"), "id")
+    return relational.counted(out, "action", ["done", "keep", "new", "missing", "failed"])
+
+
 @query("select user_id, event_id, event_type, value from (select *, row_number() over (partition by user_id, event_type order by ts, event_id) as rn from events) where rn = 1")
 def keep_first(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id", "value")

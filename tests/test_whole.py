@@ -31,3 +31,15 @@ def test_rule_classifier_whole(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.reason for r in catalogue.QUERIES["rule_classifier_whole"](spark, str(tmp_path)).collect()}
     assert got == {i: "doc_trope" for i in range(8)} | {8: "lang:fr", 9: ""}
+
+
+def test_upsert_refresh_whole(spark):
+    """Every customer returns, those of each rest of the key."""
+    rows = catalogue.QUERIES["upsert_refresh_whole"](spark, SF).collect()
+    assert sorted(r.id for r in rows) == sorted(r.c_custkey for r in spark.read.parquet(f"{SF}/customer.parquet").collect())
+
+
+def test_manifest_reconcile_whole(spark):
+    """Each order is counted once, and no rest of the order key is left out of any action."""
+    out = {r.action: r.n for r in catalogue.QUERIES["manifest_reconcile_whole"](spark, SF).collect()}
+    assert sum(out.values()) == size(spark, "orders") and all(out[a] for a in ("done", "keep", "new", "missing"))
