@@ -34,21 +34,28 @@ def _seeded(seed: int, keys: list[str]) -> Column:
 
 
 def stratified_sample(df: DataFrame, stratum: str, keys: list[str], fraction: float, seed: int = 42) -> DataFrame:
-    """max(1, floor(n * fraction)) rows of each stratum, those of the least seeded hash.
+    """max(1, floor(n * fraction)) rows of each stratum, those of the least seeded hash; a null stratum is one too.
 
     Before the sort, rows whose hash stands over twelve standard deviations above the
-    fraction are dropped: none of them can be among the least but at odds below 1e-20, and a large stratum sends
-    its sample and a margin rather than all its rows.
+    fraction are dropped, so that a large stratum sends its sample and a margin rather than all its rows.
+    A stratum with fewer rows within the margin than wanted (its rows share keys, and so hashes) has all its rows ranked.
     """
-    n = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("__n"))
     h = _seeded(seed, keys)
-    rows = df.join(F.broadcast(n), stratum).withColumn("__h", h)
     # the leading 32 bits of the hash as a share of all hashes
-    place = F.conv(F.substring("__h", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    place = F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    own = F.count(F.lit(1)).alias("__n")
     want = F.greatest(F.lit(1), F.floor(F.col("__n") * F.lit(fraction)))
     margin = want / F.col("__n") + 12 * F.sqrt(want.cast("double")) / F.col("__n") + F.lit(40.0) / F.col("__n")
+    sizes = df.groupBy(F.col(stratum).alias("__s")).agg(own).withColumns({"__want": want, "__margin": margin})
+    rows = df.withColumns({"__h": h, "__place": place})
+    near = F.col("__place") <= F.col("__margin")
+    met = rows.join(F.broadcast(sizes), F.col(stratum).eqNullSafe(F.col("__s")))
+    within = met.where(near).groupBy(F.col("__s").alias("__t")).agg(F.count(F.lit(1)).alias("__near"))
+    limits = sizes.join(within, F.col("__s").eqNullSafe(F.col("__t")), "left")
+    limits = limits.select("__s", "__want", F.when(F.coalesce("__near", F.lit(0)) >= F.col("__want"), F.col("__margin")).otherwise(1.0).alias("__margin"))
     rank = F.row_number().over(W.partitionBy(stratum).orderBy("__h", *keys))
-    return rows.where(place <= margin).withColumn("__rank", rank).where(F.col("__rank") <= want).drop("__n", "__h", "__rank")
+    near_enough = rows.join(F.broadcast(limits), F.col(stratum).eqNullSafe(F.col("__s"))).where(near)
+    return near_enough.withColumn("__rank", rank).where(F.col("__rank") <= F.col("__want")).select(*df.columns)
 
 
 def per_group_cap(df: DataFrame, group: str, keys: list[str], k: int = 4, seed: int = 42) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from parlance.functions import evidence
+from parlance.operators import ordered
 from parlance.plans import catalogue, corpus
 
 SF = "/root/testdata/sf0.001"
@@ -33,6 +34,16 @@ def test_rule_classifier_whole(spark, tmp_path):
     assert got == {i: "doc_trope" for i in range(8)} | {8: "lang:fr", 9: ""}
 
 
+def test_stratified_sample_of_nulls_and_shared_keys(spark):
+    """A null stratum is sampled, and rows of one hash are enough for their stratum."""
+    rows = [(i, None) for i in range(1000)] + [(i, "en") for i in range(1000)]
+    rows += [(7, f"same{k}") for k in range(3) for _ in range(1000)] + [(k, f"key{k}") for k in range(100, 120) for _ in range(1000)] + [(None, "none")] * 1000
+    df = spark.createDataFrame(rows, "doc_id long, lang string")
+    got = {r.lang: r["count"] for r in ordered.stratified_sample(df, "lang", ["doc_id"], 0.1).groupBy("lang").count().collect()}
+    assert got == {lang: 100 for _, lang in rows}
+    assert ordered.stratified_sample(df, "lang", ["doc_id"], 0.1).columns == df.columns
+
+
 def test_upsert_refresh_whole(spark):
     """Every customer returns, those of each rest of the key."""
     rows = catalogue.QUERIES["upsert_refresh_whole"](spark, SF).collect()
