@@ -109,6 +109,14 @@ def lexicon_negation(spark, sf_dir):
     return scored(df, "text", "id").drop("t").withColumns({"valence": lexicon.valence(), "certainty": lexicon.certainty()})
 
 
+@query(f"with d as (select cast(doc_id as bigint) as id, text from documents union all select cast(-id as bigint), text from {_fixture_sql(NEGATION_ROWS)}), c as (select id, {CLEAN.format('text')} as t from d), n as (select id, {COUNTS} from c) select *, {LABELS} from n")
+def lexicon_negation_whole(spark, sf_dir):
+    """All documents, and the fixed sentences of lexicon_negation by their negated ids."""
+    fixed = spark.createDataFrame([(-i, t) for i, t in NEGATION_ROWS], "id long, text string")
+    df = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("id"), "text").unionByName(fixed)
+    return scored(df, "text", "id").drop("t").withColumns({"valence": lexicon.valence(), "certainty": lexicon.certainty()})
+
+
 @query(f"with {SENTENCES}, c as (select doc_id, idx, {CLEAN.format('s')} as t from sent where {WORDS.format('s')} > 3), n as (select doc_id, idx, {COUNTS} from c) select doc_id, valence, certainty, count(*) as n from (select doc_id, {LABELS} from n) group by all")
 def valence_certainty(spark, sf_dir):
     rows = sentences(spark, sf_dir).where(text.word_count(F.col("s")) > 3)

@@ -54,3 +54,9 @@ def test_manifest_reconcile_whole(spark):
     """Each order is counted once, and no rest of the order key is left out of any action."""
     out = {r.action: r.n for r in catalogue.QUERIES["manifest_reconcile_whole"](spark, SF).collect()}
     assert sum(out.values()) == size(spark, "orders") and all(out[a] for a in ("done", "keep", "new", "missing"))
+
+
+def test_lexicon_negation_whole(spark):
+    """A row for each document besides the fixed sentences."""
+    rows = catalogue.QUERIES["lexicon_negation_whole"](spark, SF)
+    assert rows.where("id >= 0").count() == size(spark, "documents") and rows.where("id < 0").count() == len(corpus.NEGATION_ROWS)
