@@ -149,8 +149,7 @@ _TITLES = ["Interview with Ada Lovelace on debt", "Ada Lovelace", "The history o
 def _videos(spark, sf_dir) -> DataFrame:
     title = F.element_at(F.array(*map(F.lit, _TITLES)), (F.col("page_id") % 6 + 1).cast("int"))
     channel = F.when(F.col("page_id") % 4 == 0, "CNBC News").when(F.col("page_id") % 4 == 1, "Ada Lovelace").otherwise("Channel")
-    heard = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("welcome our guest is ada lovelace today "), F.col("html")))
-    rows = table(spark, sf_dir, "pages").select("page_id", title.alias("title"), channel.alias("channel"), F.lit("Ada Lovelace").alias("display"), heard.alias("transcript"))
+    rows = table(spark, sf_dir, "pages").select("page_id", title.alias("title"), channel.alias("channel"), F.lit("Ada Lovelace").alias("display"), F.col("html").alias("transcript"))
     return rows.withColumn("aliases", evidence.aliases(F.col("display")))
 
 
@@ -179,7 +178,7 @@ def identity_score(spark, sf_dir):
 
 @query()
 def identity_with_transcript(spark, sf_dir):
-    """The same with what the transcript adds; tested on fixed texts."""
+    """The same with what the transcript adds, each page's whole html; tested on fixed texts."""
     v = _videos(spark, sf_dir)
     return v.select("page_id", *(c.alias(n) for n, c in evidence.identity(F.col("title"), F.col("channel"), F.col("display"), F.col("aliases"), F.col("transcript")).items()))
 

@@ -34,6 +34,15 @@ def test_rule_classifier_whole(spark, tmp_path):
     assert got == {i: "doc_trope" for i in range(8)} | {8: "lang:fr", 9: ""}
 
 
+def test_identity_reads_every_transcript(spark, tmp_path):
+    """Evidence in the html of any page counts; a missing transcript adds nothing."""
+    said = "welcome our guest is ada lovelace today"
+    spark.createDataFrame([(i, "u", said if i < 12 else None) for i in range(24)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = {r.page_id: r for r in catalogue.QUERIES["identity_with_transcript"](spark, str(tmp_path)).collect()}
+    assert all(rows[i].transcript_score > 0 for i in range(12)) and all(not rows[i].transcript_score for i in range(12, 24))
+    assert [rows[i].identity_score - rows[i].transcript_score for i in range(12)] == [rows[i].identity_score for i in range(12, 24)]
+
+
 def test_stratified_sample_of_nulls_and_shared_keys(spark):
     """A null stratum is sampled, and rows of one hash are enough for their stratum."""
     rows = [(i, None) for i in range(1000)] + [(i, "en") for i in range(1000)]
