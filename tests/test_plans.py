@@ -15,6 +15,7 @@ import json, sys
 import duckdb
 tables, sf, path = json.loads(sys.argv[1]), sys.argv[2], sys.argv[3]
 con = duckdb.connect()
+con.execute("set enable_progress_bar = false")
 for t in tables:
     con.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
 def norm(v):
