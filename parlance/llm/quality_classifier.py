@@ -22,6 +22,8 @@ from parlance.llm.common import Texts, mix, pieces, span_hashes, texts_of, word_
 BITS = 20
 #: Learned from at most so many labelled rows; documented bound of the sample.
 SAMPLE_ROWS = 12_000
+#: Indicators of these rows that are taken at most, four bytes each.
+SAMPLE_INDICATORS = 40_000_000
 THRESHOLD = 0.3
 
 _KIND = np.arange(256, dtype=np.uint8)
@@ -172,24 +174,47 @@ def fit(sets: list[np.ndarray], y: np.ndarray) -> Model:
     return NormalModel((w * scale).astype(np.float32), bias, max(slope, 1e-6), shift, (scale**2).astype(np.float32))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, indicators: int = SAMPLE_INDICATORS) -> Model:
     """docs: doc_id, text; labels: doc_id, quality. Rows without a text, an id or a label of 0 or 1 teach nothing.
 
     At most `rows` labelled ids are used, those of the lowest hash; of an id's several labels the lowest counts.
+    In that order texts are taken while their indicators together stay within `indicators`. One task
+    fits the model, within bounded memory; the driver gets the weights alone.
     """
     wanted = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     some = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(wanted), "doc_id")  # `rows` rows at most
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             of, f = features(texts_of(b.column(1)))
-            cut = np.searchsorted(of, np.arange(b.num_rows + 1)).astype(np.int32)
-            sets = pa.ListArray.from_arrays(pa.array(cut), pa.array(f.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2).cast(pa.int32()), sets], names=["doc_id", "quality", "f"])
-
-    got = some.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, f array<int>").toArrow().sort_by("doc_id")
-    return fit([np.asarray(x.values) for x in got.column("f").combine_chunks()] if len(got) else [], got.column("quality").to_numpy())
+            cut = np.searchsorted(of, np.arange(b.num_rows + 1)).astype(np.int64)
+            raw = f.astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(2), b.column(3).cast(pa.int32()), pa.array([raw[x:y].tobytes() for x, y in zip(cut, cut[1:])], pa.binary())], names=["turn", "quality", "f"])
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, y, left = [], [], indicators
+        for b in batches:
+            for quality, raw in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                left -= len(raw) // 4
+                if left >= 0:
+                    sets.append(np.frombuffer(raw, np.int32))
+                    y.append(quality)
+        m = fit(sets, np.array(y, np.int64))
+        squares = getattr(m, "squares", None)
+        numbers = [pa.array([float(x)]) for x in (m.bias, m.slope, m.shift)]
+        yield pa.RecordBatch.from_arrays([pa.array([m.weights.tobytes()], pa.binary()), pa.array([None if squares is None else squares.tobytes()], pa.binary()), *numbers], names=["weights", "squares", "bias", "slope", "shift"])
+
+    turned = some.select("doc_id", "text", F.xxhash64("doc_id").alias("turn"), "quality")
+    sets = turned.mapInArrow(listed, "turn long, quality int, f binary")
+    one = sets.repartition(1).sortWithinPartitions("turn", "f")  # `rows` rows at most
+    r = one.mapInArrow(fitted, "weights binary, squares binary, bias double, slope double, shift double").first()
+    if r is None:  # no labelled rows
+        return fit([], np.zeros(0, np.int64))
+    weights = np.frombuffer(r["weights"], np.float32)
+    if r["squares"] is None:
+        return Model(weights, r["bias"], r["slope"], r["shift"])
+    return NormalModel(weights, r["bias"], r["slope"], r["shift"], np.frombuffer(r["squares"], np.float32))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
