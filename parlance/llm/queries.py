@@ -31,7 +31,8 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), shared_dir(spark, "token-cache"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")  # digests are cheap, and the misses are dealt out by content
+    counts = token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), shared_dir(spark, "token-cache"))
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 

@@ -3,8 +3,10 @@
 A count depends on the content and on the tokenizer alone, so that it is kept
 under the digests of both. Only distinct contents that the cache lacks are
 encoded; their counts are appended, and every document takes its count by a join.
-Copies are reduced to one representative by a partial aggregate over digests
-before any text moves, so that a content of a third of all rows costs one row a task.
+The digests of all rows are written once; misses are found among them, without texts.
+Then one pass over the texts reduces the copies of each task to one by a partial
+aggregate before any text moves, so that a content of a third of all rows costs one row
+a task, and each missing text moves once.
 """
 
 from __future__ import annotations
@@ -18,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import pieces
+from parlance.llm.common import pieces, written
 
+#: Digests of misses that are broadcast at most, 32 bytes each; with more, all texts meet the misses by a shuffle.
+BROADCAST_MISSES = 500_000
 CACHE_SCHEMA = "content binary, n_tokens long, tokenizer string"
 #: Longer texts are counted in parts, cut where the count is additive: before one blank between two plain characters.
 PART_CHARS = 1 << 18
@@ -90,28 +94,35 @@ def encoded(misses: DataFrame, tokenizer_path: str) -> DataFrame:
     return misses.select("content", "text").mapInArrow(run, "content binary, n_tokens long")
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, broadcast_misses: int = BROADCAST_MISSES) -> DataFrame:
     """doc_id, n_bytes and n_tokens of each row; `cache_path` is a Parquet folder that is read and appended to.
 
     Null and empty texts have no bytes and no tokens; repeated rows give repeated
-    rows; a null doc_id stays null. The append is one write: a failed run leaves the cache as it was.
+    rows; a null doc_id stays null, and rows are never told apart by it. The append
+    is one write: a failed run leaves the cache as it was.
     """
     spark = docs.sparkSession
     version = tokenizer_digest(tokenizer_path)
     spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").partitionBy("tokenizer").parquet(cache_path)
 
     def cache() -> DataFrame:
-        rows = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version)
-        return rows.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+        return spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version).select("content", "n_tokens")
 
     text = normalised(F.col("text"))
     digest = F.unhex(F.sha2(text, 256)).alias("content")
-    full = docs.select("doc_id", text.alias("text"))
-    of = full.select("doc_id", digest, F.octet_length("text").cast("long").alias("n_bytes"))
-    one = of.groupBy("content").agg(F.min("doc_id").alias("rep")).join(cache(), "content", "left_anti")
-    rows = full.select("doc_id", "text").alias("d").join(one.alias("m"), F.expr("d.doc_id <=> m.rep"))
-    # a doc_id that repeats with another text joins rows that aren't the representative
-    todo = rows.select("content", "text", digest.alias("own")).where("own = content")
-    made = encoded(todo, tokenizer_path).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
-    made.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache_path)
-    return of.join(cache(), "content", "left").select("doc_id", "n_bytes", "n_tokens")
+    of = written(docs.select("doc_id", digest, F.octet_length(text).cast("long").alias("n_bytes")), "token-digests")
+    contents = of.select("content").distinct()
+    missing = written(contents.join(cache(), "content", "left_anti"), "token-misses")
+    n_missing = missing.count()
+    if n_missing:
+        full, one = docs.select(digest, text.alias("text")), F.first("text").alias("text")
+        # a task's copies become one before anything moves
+        if n_missing <= broadcast_misses:
+            todo = full.join(F.broadcast(missing), "content", "left_semi").groupBy("content").agg(one)
+        else:
+            todo = full.groupBy("content").agg(one).join(missing, "content", "left_semi")
+        made = encoded(todo, tokenizer_path)
+        made.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache_path)
+    # a table of its own, so that adaptive execution can split a hot content's side of the join
+    counts = written(contents.join(cache(), "content").groupBy("content").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
+    return of.join(counts, "content", "left").select("doc_id", "n_bytes", "n_tokens")

@@ -76,6 +76,22 @@ def test_token_counts(spark, docs, rows, nothing, name, tmp_path):
     assert token_counts.token_counts(nothing, path, cache).count() == 0
 
 
+def test_token_counts_null_ids_and_large_misses(spark, tmp_path):
+    """Contents are never told apart by doc_id: null and repeated ids have texts of their own; past the bound the misses meet by a shuffle."""
+    data = [(None, "one two"), (None, "one two"), (None, "three"), (1, "four five six"), (1, "four"), (1, "four"), (None, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(JSON)
+    want = sorted((str(i), len((x or "").encode()), len(t.encode(x or "", add_special_tokens=False))) for i, x in data)
+    for bound in (100, 0):
+        cache = str(tmp_path / f"cache{bound}")
+        out = token_counts.token_counts(docs, JSON, cache, broadcast_misses=bound).collect()
+        assert sorted((str(r[0]), r[1], r[2]) for r in out) == want and spark.read.parquet(cache).count() == 5
+        more = docs.unionByName(spark.createDataFrame([(9, "seven")], docs.schema))
+        assert token_counts.token_counts(more, JSON, cache, broadcast_misses=bound).count() == 8 and spark.read.parquet(cache).count() == 6
+
+
 def test_parts_add_up(monkeypatch):
     from tokenizers import Tokenizer
 
@@ -134,6 +150,9 @@ def test_quality_classifier(spark, docs, rows, nothing):
     alone = quality_classifier.train(docs, labels.limit(0))
     assert quality_classifier.score(docs, alone).count() == len(rows)
     assert quality_classifier.reject(docs, model).columns == docs.columns
+    # the bounds of the sample: no indicators at all teach nothing
+    none = quality_classifier.train(docs, labels, indicators=0)
+    assert none.slope == 1.0 and not none.weights.any()
 
 
 def test_dual_coordinate_descent_separates():
