@@ -53,3 +53,52 @@ def test_components(spark):
     chain = [(f"n{i:03}", f"n{i + 1:03}") for i in range(60)] + [("z1", "z2"), ("z3", "z2"), ("a", "a")]
     out = {r.node: r.root for r in ngram_join.components(spark.createDataFrame(chain, "u string, v string")).collect()}
     assert out == {f"n{i:03}": "n000" for i in range(61)} | {"z1": "z1", "z2": "z1", "z3": "z1"}
+
+
+def test_one_of_each_by_row(spark):
+    """Rows that share a doc_id, equal rows, null ids and texts without words, with a column that clashes."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    near = a.replace("a39", "other")
+    data = [(1, a, "x"), (1, a, "x"), (2, a, "x"), (1, b, "x"), (3, near, "y"), (None, a, "z"), (None, "null one here too many", "z"), (None, "null one here too many", "w"), (7, None, "x"), (7, None, "x"), (8, "", "x")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, `__rowa` string").repartition(3)
+    out = sorted(map(str, ((r[0], r[1], r[2]) for r in ngram_join.one_of_each(docs).collect())))
+    fixed = [(1, b, "x"), (7, None, "x"), (8, "", "x")]
+    assert len(out) == 5 and set(map(str, fixed)) <= set(out)
+    assert str((1, a, "x")) in out and sum("null one" in x for x in out) == 1
+
+
+def test_chain_of_unlike_texts_is_no_component(spark):
+    """Texts of which each shares 0.4 with the next meet in bands, but their MinHashes don't agree: nothing is linked."""
+    words = [f"c{i}" for i in range(12000)]
+    chain = [" ".join(words[i * 38 : i * 38 + 100]) for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(chain)), "doc_id long, text string")
+    bands = ngram_join.bands_for(0.8, ngram_join.RECALL, 5)
+    least = ngram_join.least_agreeing(0.8, ngram_join.RECALL, bands * 5)
+    per_class = ngram_join.classes(docs, 5, bands, 5)
+    banded = per_class.select("key", ngram_join.F.explode("bands").alias("b"))
+    met = banded.groupBy("b").count().where("count > 1").count()
+    assert met > 50 and ngram_join.band_links(per_class, least, 512).count() == 0
+    assert got(ngram_join.join(docs)) == sorted(brute.op9(list(enumerate(chain))))
+
+
+def test_recall_at_the_threshold():
+    """Of pairs of similarity 0.8, all share a band and agree in enough MinHashes."""
+    import numpy as np
+
+    rnd = np.random.default_rng(5)
+    bands = ngram_join.bands_for(0.8, ngram_join.RECALL, 5)
+    least = ngram_join.least_agreeing(0.8, ngram_join.RECALL, bands * 5)
+    n, found = 2000, 0
+    h = [np.sort(x) for _ in range(n) for s in [rnd.integers(0, 2**63, 110, dtype=np.uint64)] for x in (s[:99], np.concatenate([s[11:99], s[99:]]))]
+    sig, sketch = ngram_join.signatures(np.concatenate(h), np.arange(0, 99 * (2 * n + 1), 99), bands, 5)
+    shared = (sig[::2] == sig[1::2]).any(axis=1)
+    agree = (sketch[::2] == sketch[1::2]).sum(axis=1)
+    assert shared.all() and (agree >= least).all()
+
+
+def test_parts_of_a_band():
+    import numpy as np
+
+    group = np.array([0, 0, 0, 0, 1, 1, 2])
+    sketch = np.array([[1, 1, 1, 1], [9, 9, 9, 9], [9, 9, 9, 8], [1, 1, 1, 2], [5, 5, 5, 5], [6, 6, 6, 6], [1, 1, 1, 1]], np.uint8)
+    assert ngram_join.agreeing_parts(group, sketch, 3).tolist() == [0, 1, 1, 0, 4, 5, 6]
