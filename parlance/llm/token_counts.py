@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from parlance.llm.common import pieces, written
 
 #: Digests of misses that are broadcast at most, 32 bytes each; with more, all texts meet the misses by a shuffle.
-BROADCAST_MISSES = 500_000
+BROADCAST_MISSES = 100_000
 CACHE_SCHEMA = "content binary, n_tokens long, tokenizer string"
 #: Longer texts are counted in parts, cut where the count is additive: before one blank between two plain characters.
 PART_CHARS = 1 << 18
