@@ -49,7 +49,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables of which nothing that is still to run reads; what was made from them must be written itself."""
+    for t in tables:
+        jvm, session = t.sparkSession._jvm, t.sparkSession._jsparkSession
+        path = jvm.org.apache.hadoop.fs.Path(t.written_to)
+        path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
 
 
 def in_shards(col: str = "doc_id") -> object:

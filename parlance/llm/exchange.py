@@ -11,7 +11,8 @@ anchor that its content alone selects, so that equal windows have equal anchors.
    An anchor with many contexts in a batch is hot there: its entries meet by context instead, spread over all
    buckets, and the anchor's own bucket learns that it is hot and sends on what others sent it.
 3. Replies meet the texts by a hash of doc_id. Texts without a reply are done; the
-   others ask about the contexts that are open, again reduced to distinct ones.
+   others ask about the contexts that are open, again reduced to distinct ones. What
+   comes of this is written, and texts that are done are read from there.
 4. Questions meet by content, are resolved, and the answers return to the texts.
 
 All rows that travel are packed arrays, a row for each batch and bucket. There is one
@@ -29,7 +30,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import CHUNK_BYTES, Texts, mix, pieces, texts_of
+from parlance.llm.common import CHUNK_BYTES, Texts, mix, pieces, texts_of, written
 
 #: What a null doc_id counts as: smaller than any other.
 NULL_ID = -(1 << 63)
@@ -318,8 +319,8 @@ def deduplicated(docs: DataFrame, op: Repeats, texts: bool = False, keep: list[s
     def close(t: pa.Table) -> pa.Table:
         kind = t["kind"].to_numpy()
         names = [c for c, _ in own]
-        parts = [t.filter(pa.array(kind == DONE)).select(names)]
         open_ = t.filter(pa.array(kind == OPEN))
+        parts = [open_.select(names).slice(0, 0)]
         if open_.num_rows:
             answers = t.filter(pa.array(kind == ANSWER))
             a_id, a_at, a_n = (_joined(answers, c, {}) for c in ("id", "at", "count"))
@@ -345,8 +346,11 @@ def deduplicated(docs: DataFrame, op: Repeats, texts: bool = False, keep: list[s
     settled = found.groupBy("bucket").applyInArrow(settle, "bucket int, " + ", ".join(f"{c} binary" for c in SETTLED))
     replies = settled.groupBy("bucket").applyInArrow(settle_hot, REPLY)
     met = rows.groupBy("slot").cogroup(replies.groupBy("slot")).applyInArrow(meet, ddl(step))
-    solved = met.groupBy("bucket").applyInArrow(resolve, ddl(step))
-    out = solved.groupBy("bucket").applyInArrow(close, ddl(own))
+    # written, so that texts that are done move no further; only open ones, questions and answers do
+    met = written(met, "repeats-met")
+    solved = met.where(F.col("kind") != DONE).groupBy("bucket").applyInArrow(resolve, ddl(step))
+    closed = solved.groupBy("bucket").applyInArrow(close, ddl(own))
+    out = met.where(F.col("kind") == DONE).select(*(c for c, _ in own)).unionByName(closed)
     if texts:
         return out.select(F.col("doc_id"), F.col("text"), *(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)))
     return out.select("doc_id", "n", "removed", "spans", "sha")
