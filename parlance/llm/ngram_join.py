@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import Texts, mix, pieces, span_hashes, texts_of, window_hashes, word_spans, written
+from parlance.llm.common import Texts, discard, mix, pieces, span_hashes, texts_of, window_hashes, word_spans, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -219,7 +219,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     n = e.count()
     while n:
         # the least neighbour of every node that has a smaller one; a table of its own, so that a hub's side of the join can be split
-        low = written(e.groupBy("u").agg(F.min("v").alias("m")), name).select(F.col("u").alias("v"), "m")
+        lows = written(e.groupBy("u").agg(F.min("v").alias("m")), name)
+        low = lows.select(F.col("u").alias("v"), "m")
         if low.count() == n and e.join(low, "v", "left_semi").isEmpty():
             break  # every node has one link, to a node without any: stars around the roots
         # large star: every larger neighbour of v goes to the least of v and its neighbours
@@ -227,8 +228,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         # small star: every smaller neighbour of u, and u, go to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         both = F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")
-        e = written(large.join(least, "u").select(both).select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct(), name)
+        old, e = e, written(large.join(least, "u").select(both).select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct(), name)
         n = e.count()
+        discard(old, lows)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
@@ -314,6 +316,7 @@ def _grouped(docs: DataFrame, keep: list[str], similarity: float, k: int, recall
     dealt = dealt.select("root", "key", "copies", "block", "text", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("blocks") == 1).alias("whole"))
     compared = dealt.groupBy("root", "lo", "hi").applyInArrow(lambda t: _compare(t, k, at_least), "key binary, links long, low binary, whole boolean")
     links = written(compared, "ngram-links")
+    discard(placed)
     total = links.groupBy("key").agg(F.sum("links").alias("links"))
     # where one task had the whole component, its parts are settled; the rest are joined up
     roots = links.where("whole").select(F.col("key").alias("node"), F.col("low").alias("root"))
@@ -323,7 +326,9 @@ def _grouped(docs: DataFrame, keep: list[str], similarity: float, k: int, recall
     named = group.groupBy("root").agg(F.min("copy_of").alias("class_id"))
     verdict = group.join(named, "root").select("key", "root", "class_id", "copy_of", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     # a table of its own, so that adaptive execution can split a hot class's side of the join
-    out = found.select("doc_id", *keep, "key").join(written(verdict, "ngram-verdicts"), "key", "left")
+    verdict = written(verdict, "ngram-verdicts")
+    discard(per_class, links)
+    out = found.select("doc_id", *keep, "key").join(verdict, "key", "left")
     own = F.when(F.col("key").isNull(), F.col("doc_id"))
     return out.select("doc_id", *keep, "root", F.coalesce(F.col("class_id"), own).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("copy_of"), own).alias("copy_of"))
 
