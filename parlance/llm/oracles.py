@@ -13,20 +13,24 @@ def _q(x: str) -> str:
 
 
 def _rules() -> str:
-    rates = list(quality_rules.SLACK)
+    rates = quality_rules.RATES
     pair = " union all ".join(f"select lang, source, '{r}' as rate, {r} as v, base_failed from m" for r in rates)
-    slack = "case rate " + " ".join(f"when '{r}' then {s}" for r, s in quality_rules.SLACK.items()) + " end"
-    drop = f"greatest(length(bin(v)) - {quality_rules.GRAIN_BITS + 1}, 0)"
-    level = lambda k, cols: f"l{k} as (select {cols} n, {', '.join(f'max(high) filter (rate = {_q(r)}) as max_{r}' for r in rates)} from (select {cols} rate, any_value(n) as n, min(bucket) filter (upto * 4 >= n * 3) + greatest({quality_rules.FENCE} * (min(bucket) filter (upto * 4 >= n * 3) - min(bucket) filter (upto * 4 >= n)), {slack}) as high from (select {cols} rate, bucket, sum(k) over (partition by {cols} rate order by bucket) as upto, sum(k) over (partition by {cols} rate) as n from (select {cols} rate, bucket, count(*) as k from s group by all)) group by {cols} rate) group by {cols} n)"
-    limit = lambda r: f"case when a.n >= {quality_rules.LEAST_TEXTS} then a.max_{r} when b.n >= {quality_rules.LEAST_TEXTS} then b.max_{r} else c.max_{r} end"
-    ok = " and ".join(f"coalesce(m.{r} <= {limit(r)}, true)" for r in rates)
+    tail = "case rate " + " ".join(f"when '{r}' then {k}" for r, k in quality_rules.TAILS.items()) + " end"
+    bucket = lambda v: f"(({v} >> greatest(length(bin({v})) - {quality_rules.GRAIN_BITS + 1}, 0)) << greatest(length(bin({v})) - {quality_rules.GRAIN_BITS + 1}, 0))"
+    at = lambda k: f"min(bucket) filter (upto * 100 >= n * {k})"
+    high = f"case rate when 'word_len' then {at(75)} + {quality_rules.FENCE} * greatest({at(75)} - {at(25)}, {at(75)} >> {quality_rules.GRAIN_BITS}) else {at(tail)} + greatest({at(tail)}, coalesce(min(bucket) filter (bucket > 0 and (upto - none) * 20 >= n - none), 0)) // 2 end"
+    level = lambda k, cols: f"l{k} as (select {cols} n, {', '.join(f'max(high) filter (rate = {_q(r)}) as max_{r}' for r in rates)} from (select {cols} rate, any_value(n) as n, {high} as high from (select {cols} rate, bucket, sum(k) over (partition by {cols} rate order by bucket) as upto, sum(k) over (partition by {cols} rate) as n, sum(if(bucket = 0, k, 0)) over (partition by {cols} rate) as none from (select {cols} rate, bucket, count(*) as k from s group by all)) group by {cols} rate) group by {cols} n)"
+    half = lambda r, v: v if r == "word_len" else f"({v}) // 2"
+    settled = lambda side, r, above: f"case when {side}.n >= {quality_rules.LEAST_TEXTS} then greatest({side}.max_{r}, {half(r, above)}) else {above} end"
+    limit = lambda r: settled("a", r, settled("b", r, f"c.max_{r}"))
+    ok = " and ".join(f"coalesce({bucket('m.' + r)} <= {limit(r)}, true)" for r in rates)
     return f"""with d as (select row_number() over () as rid, doc_id, lang, source, coalesce(text, '') as text, {SPACE_WORDS} as ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines from documents),
 w as (select rid, i, array_to_string(ws[i:i + 7], ' ') as x from (select rid, ws, unnest(range(1, len(ws) - 6)) as i from d where len(ws) >= 8)),
 t as (select rid, x from w group by all having count(*) > 1),
 r as (select rid, count(distinct p) as k from (select w.rid, unnest(range(w.i, w.i + 8)) as p from w join t on w.rid = t.rid and w.x = t.x) group by rid),
 b as (select rid, doc_id, lang, source, len(ws) as n_words, length(array_to_string(ws, '')) as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(k, 0) as n_repeat_words, len(lines) as n_lines from d left join r using (rid)),
 m as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, cast(floor(n_symbols * 10000 / greatest(word_chars, 1)) as bigint) as symbols, cast(floor(n_dup_lines * 10000 / greatest(n_lines, 1)) as bigint) as dup_lines, cast(floor(n_repeat_words * 10000 / greatest(n_words, 1)) as bigint) as repeats, cast(floor(word_chars * 100 / greatest(n_words, 1)) as bigint) as word_len from b),
-s as (select lang, source, rate, (v >> {drop}) << {drop} as bucket from ({pair}) where not base_failed),
+s as (select lang, source, rate, {bucket('v')} as bucket from ({pair}) where not base_failed),
 {level(0, 'lang, source,')}, {level(1, 'lang,')}, {level(2, '')}
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {ok} as kept, {', '.join('m.' + r for r in rates)}
 from m left join l0 a on m.lang is not distinct from a.lang and m.source is not distinct from a.source left join l1 b on m.lang is not distinct from b.lang left join l2 c on true"""

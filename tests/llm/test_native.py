@@ -32,6 +32,23 @@ def test_thresholds_adapt(spark):
     assert out[600] is False and all(v for k, v in out.items() if k < 600)
 
 
+def test_limits_differ(spark):
+    """No limit is one fixed number: each rate has several over the groups of sf0.1."""
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    limits = quality_rules.limits(quality_rules.sketches(quality_rules._with_rates(d).where("not base_failed"))).collect()
+    assert all(len({r[f"max_{k}"] for r in limits}) > 1 for k in quality_rules.RATES)
+
+
+def test_keep_documents_by_row(spark, docs, nothing):
+    """Rows that share a doc_id, or have none, are judged by their own text; clashing columns stay."""
+    good = " ".join(f"word{i}" for i in range(60))
+    data = [(1, good, "en", "s", 1, 2), (1, "too short", "en", "s", 3, 4), (None, good + " more", "en", "s", 5, 6), (None, None, None, None, 7, 8), (1, good, "en", "s", 1, 2)]
+    own = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_words int, row int")
+    kept = quality_rules.keep_documents(own)
+    assert kept.columns == own.columns and sorted(map(str, kept.collect())) == sorted(map(str, (r for r in own.collect() if r.text and len(r.text) > 20)))
+    assert quality_rules.keep_documents(docs).columns == docs.columns and quality_rules.keep_documents(nothing).count() == 0
+
+
 def test_sketch_bucket(spark):
     rows = spark.range(5000).select("id", quality_rules.bucket(F.col("id")).alias("b")).collect()
     assert all(r.b <= r.id <= r.b * (1 + 2**-quality_rules.GRAIN_BITS) for r in rows) and all(r.b == r.id for r in rows[:64])
