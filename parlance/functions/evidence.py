@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parlance.functions.text import contains_any, identity_normal, let, word_count
+from parlance.functions.text import contains_any, identity_normal, let, title_name, word_count
 from parlance.operators.relational import first_match
 
 # Patterns of descriptions that aren't by the speaker, in the order in which they count.
@@ -34,6 +34,41 @@ TEXT_INTERVIEW = ["sits down with", "conversation with", "joins", "interview", "
 TEXT_DOCUMENTARY = ["documentary", "biography of", "the story of", "profile of", "this film", "this documentary"]
 TEXT_PANEL = ["panel", "roundtable", "moderated by"]
 
+# Display names that a slug's words don't give.
+DISPLAY_NAMES = {
+    "mohamed_el_erian": "Mohamed El-Erian",
+    "mohamed_el-erian": "Mohamed El-Erian",
+    "volodymyr_zelenskyy": "Volodymyr Zelenskyy",
+    "recep_erdogan": "Recep Tayyip Erdogan",
+    "lawrence_summers": "Lawrence Summers",
+    "robert_shiller": "Robert Shiller",
+    "marc_andreessen": "Marc Andreessen",
+    "neel_kashkari": "Neel Kashkari",
+    "james_mattis": "James Mattis",
+    "jd_vance": "JD Vance",
+    "mohamed_a_el_erian": "Mohamed A. El-Erian",
+}
+
+# Other names that speakers go by.
+OTHER_NAMES = {
+    "jd_vance": ["j d vance", "j.d. vance", "j.d vance", "jd vance"],
+    "mohamed_el_erian": ["mohamed el erian", "mohamed el-erian"],
+    "mohamed_el-erian": ["mohamed el erian", "mohamed el-erian"],
+    "volodymyr_zelenskyy": ["volodymyr zelensky", "zelensky", "zelenskyy"],
+    "recep_erdogan": ["recep tayyip erdogan", "erdogan"],
+    "robert_shiller": ["bob shiller", "robert j shiller"],
+    "lawrence_summers": ["larry summers", "lawrence summers"],
+    "james_mattis": ["jim mattis", "james mattis"],
+    "neel_kashkari": ["neel kashkari", "neal kashkari"],
+    "marc_andreessen": ["mark andreessen", "marc andreessen"],
+}
+
+
+def display_name(slug: Column) -> Column:
+    """A speaker's name as it is shown: the listed one, or the slug's words with capitals."""
+    listed = F.create_map(*(F.lit(x) for pair in DISPLAY_NAMES.items() for x in pair))
+    return F.coalesce(F.element_at(listed, slug), title_name(slug))
+
 
 def exclusion(description: Column, language: Column) -> Column:
     """Why a video is left out: the first description rule that holds, then the language; '' if none."""
@@ -42,14 +77,19 @@ def exclusion(description: Column, language: Column) -> Column:
     return first_match(*rules, (lang.isin(OTHER_LANGUAGES), F.concat(F.lit("lang:"), lang)), otherwise=F.lit(""))
 
 
-def aliases(display: Column) -> Column:
-    """Normalised names that stand for a speaker: full, first and last, a surname of five letters or more that is no plain word, initials."""
+def aliases(display: Column, slug: Column | None = None) -> Column:
+    """Normalised names that stand for a speaker, longest first: full, first and last, a surname of five letters or more that is no plain word, initials; with a slug, its words and the listed other names."""
     full = identity_normal(display)
     parts = F.filter(F.split(full, r"\s+"), lambda p: p != "")
     last = F.element_at(parts, -1)
     many = F.size(parts) >= 2
     initials = F.array_join(F.transform(parts, lambda p: F.substring(p, 1, 1)), "")
-    own = F.array_compact(F.array(F.when(full != "", full), F.when(many, F.concat_ws(" ", F.get(parts, F.lit(0)), last)), F.when(many & (F.char_length(last) >= 5) & ~last.isin(PLAIN_SURNAMES), last), F.when(many, initials)))
+    own = F.array(full, F.when(many, F.concat_ws(" ", F.get(parts, F.lit(0)), last)), F.when(many & (F.char_length(last) >= 5) & ~last.isin(PLAIN_SURNAMES), last), F.when(many, initials))
+    if slug is not None:
+        listed = F.create_map(*(x for k, v in OTHER_NAMES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+        others = F.coalesce(F.element_at(listed, slug), F.array().cast("array<string>"))
+        own = F.concat(own, F.array(identity_normal(F.replace(slug, F.lit("_"), F.lit(" ")))), F.transform(others, identity_normal))
+    own = F.filter(own, lambda x: F.coalesce(x, F.lit("")) != "")
     return F.array_sort(F.array_distinct(own), lambda a, b: F.when(F.char_length(a) != F.char_length(b), F.char_length(b) - F.char_length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
 
 
@@ -118,8 +158,15 @@ def identity(title: Column, channel: Column, display: Column, names: Column, tra
     return {"identity_score": score, "identity_status": status, "identity_reasons": F.array_join(reasons, "; "), "transcript_score": heard}
 
 
-def _vote(tsp: Column, confidence: Column) -> Column:
-    return F.struct(tsp.cast("int").alias("tsp"), confidence.alias("conf"))
+def _reasons(*named: tuple[Column, str]) -> Column:
+    """Names of the tests that hold, in order."""
+    return F.array_compact(F.array(*(F.when(test, name) for test, name in named)))
+
+
+def _votes(reasons: Column, *rules: tuple[Column, int | None, str, str | None]) -> Column:
+    """The vote of the first rule (test, vote, confidence, reason that it adds) that holds; the last rule's test is always true."""
+    made = [(test, F.struct(F.lit(tsp).cast("int").alias("tsp"), F.lit(conf).alias("conf"), (F.concat(reasons, F.array(F.lit(more))) if more else reasons).alias("reasons"))) for test, tsp, conf, more in rules]
+    return first_match(*made[:-1], otherwise=made[-1][1])
 
 
 def speaker_in(text: Column, name: Column) -> Column:
@@ -129,31 +176,42 @@ def speaker_in(text: Column, name: Column) -> Column:
 
 
 def vote_title(title: Column, name: Column) -> Column:
-    """Votes of a title for how far a talk is in the speaker's own words, 1 to 4, with confidence."""
+    """Votes of a title for how far a talk is in the speaker's own words, 1 to 4, with confidence and reasons."""
     t = F.lower(F.coalesce(title, F.lit("")))
-    named, interview, panel = speaker_in(t, name), contains_any(t, TITLE_INTERVIEW), contains_any(t, TITLE_PANEL)
-    doubtful = F.regexp_like(t, F.lit("|".join(TITLE_DOUBTFUL))) | contains_any(t, TITLE_DOCUMENTARY)
-    low, medium, high = F.lit("low"), F.lit("medium"), F.lit("high")
-    return first_match((~named, _vote(F.lit(1), low)), (doubtful, _vote(F.lit(2), medium)), (interview & ~panel, _vote(F.lit(4), high)), otherwise=_vote(F.lit(3), medium))
+    named, interview, doc, panel = speaker_in(t, name), contains_any(t, TITLE_INTERVIEW), contains_any(t, TITLE_DOCUMENTARY), contains_any(t, TITLE_PANEL)
+    doubtful = F.regexp_like(t, F.lit("|".join(TITLE_DOUBTFUL)))
+    why = _reasons((named, "speaker_in_title"), (interview, "interview_keyword"), (doc, "doc_keyword"), (panel, "panel_keyword"), (doubtful, "low_conf_pattern"))
+    return _votes(why, (~named, 1, "low", "no_speaker_in_title"), (doubtful | doc, 2, "medium", None), (interview & ~panel, 4, "high", None), (F.lit(True), 3, "medium", None))
 
 
 def vote_description(description: Column, name: Column) -> Column:
     d = F.lower(F.coalesce(description, F.lit("")))
     named = (name != "") & F.contains(d, name)
     interview, doc, panel = contains_any(d, TEXT_INTERVIEW), contains_any(d, TEXT_DOCUMENTARY), contains_any(d, TEXT_PANEL)
-    none = _vote(F.lit(None), F.lit("none"))
-    return first_match((d == "", none), (doc & ~interview, _vote(F.lit(2), F.lit("high"))), (interview & named, _vote(F.lit(4), F.lit("high"))), (panel, _vote(F.lit(3), F.lit("medium"))), (named, _vote(F.lit(3), F.lit("low"))), otherwise=none)
+    why = _reasons((named, "speaker_in_desc"), (interview, "interview_in_desc"), (doc, "doc_in_desc"), (panel, "panel_in_desc"))
+    return _votes(why, (d == "", None, "none", None), (doc & ~interview, 2, "high", None), (interview & named, 4, "high", "desc_confirms_interview"), (panel, 3, "medium", None), (named, 3, "low", None), (F.lit(True), None, "none", None))
 
 
 def vote_transcript(text: Column, name: Column) -> Column:
     """By length, share of question marks, and whether a part of the name of over two letters is heard."""
     t = F.coalesce(text, F.lit(""))
     n = word_count(t)
-    questions = (F.char_length(t) - F.char_length(F.replace(t, F.lit("?"), F.lit("")))) / F.greatest(n, F.lit(1))
+    asked = F.char_length(t) - F.char_length(F.replace(t, F.lit("?"), F.lit("")))
+    questions = asked / F.greatest(n, F.lit(1))
     heard = F.exists(F.split(name, " "), lambda p: (F.char_length(p) > 2) & F.contains(F.lower(t), p))
-    v = lambda tsp, conf: _vote(F.lit(tsp), F.lit(conf))
-    return first_match(
-        (t == "", v(None, "none")), (n < 200, v(1, "high")), (n < 500, v(2, "medium")), ((questions > 0.003) & heard, v(4, "high")), (questions > 0.003, v(3, "medium")), ((n > 2000) & heard, v(3, "low")), (n > 5000, v(3, "low")), otherwise=v(2, "low")
+    thousandths = F.floor((asked * 2000 + n) / F.greatest(n * 2, F.lit(1))).cast("int")
+    ratio = F.format_string("q_ratio=%d.%03d", F.floor(thousandths / 1000).cast("int"), thousandths % 1000)
+    why = F.when(t == "", F.array().cast("array<string>")).otherwise(F.array_compact(F.array(F.format_string("vtt_%dw", n), ratio, F.when(heard, "speaker_in_vtt"))))
+    return _votes(
+        why,
+        (t == "", None, "none", None),
+        (n < 200, 1, "high", "vtt_too_short"),
+        (n < 500, 2, "medium", "vtt_short"),
+        ((questions > 0.003) & heard, 4, "high", "dialogue_with_speaker"),
+        (questions > 0.003, 3, "medium", "dialogue_detected"),
+        ((n > 2000) & heard, 3, "low", "long_monologue"),
+        (n > 5000, 3, "low", "long_vtt_no_dialogue"),
+        (F.lit(True), 2, "low", "unclear_format"),
     )
 
 

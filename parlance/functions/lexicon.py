@@ -7,78 +7,287 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The categories and their patterns, parted by spaces. One pattern of
-# "Decline/Destruction" stands twice and so counts twice; patterns with a capital I never match lower-cased text.
+# The categories and their patterns. One pattern of "Decline/Destruction"
+# stands twice and so counts twice; patterns with a capital I never match lower-cased text.
 POSITIVE = {
-    "Hope/Optimism": r"""
-        \bhopeful?\b \boptimistic\b \bopportunity\w*\b \bgrowth\b \bprogress\b \bimprov(e|ed|ement)\b
-        \binnovat(ive|ion|ions)\b \bbetter\b \bbright\b \bpromising\b \bprosper(ity|ous)\b \bthrive\b
-        \bflourish(ing)?\b \brenaissance\b""",
-    "Strength/Success": r"""
-        \bstrong(er|est)?\b \bstrength\b \bresilien(t|ce)\b \bhealthy?\b \bsuccess(ful)?\b \bproductivi(ty|e)\b
-        \bcreative\b \binventi(ve|on)\b \bwealthy?\b \bbooming?\b \bcompetitive(ness)?\b \blead(er|ing)\b
-        \bexcellen(t|ce)\b \bsuperior\b""",
-    "Stability/Order": r"""
-        \bharmon(y|ious)\b \bcooperat(e|ion|ive)\b \bunit(y|ied)\b \bpeace(ful)?\b \balliance\b \bpartnership\b
-        \bdisciplin(e|ed)\b \bcompetent\b""",
+    "Hope/Optimism": [
+        r"\bhopeful?\b",
+        r"\boptimistic\b",
+        r"\bopportunity\w*\b",
+        r"\bgrowth\b",
+        r"\bprogress\b",
+        r"\bimprov(e|ed|ement)\b",
+        r"\binnovat(ive|ion|ions)\b",
+        r"\bbetter\b",
+        r"\bbright\b",
+        r"\bpromising\b",
+        r"\bprosper(ity|ous)\b",
+        r"\bthrive\b",
+        r"\bflourish(ing)?\b",
+        r"\brenaissance\b",
+    ],
+    "Strength/Success": [
+        r"\bstrong(er|est)?\b",
+        r"\bstrength\b",
+        r"\bresilien(t|ce)\b",
+        r"\bhealthy?\b",
+        r"\bsuccess(ful)?\b",
+        r"\bproductivi(ty|e)\b",
+        r"\bcreative\b",
+        r"\binventi(ve|on)\b",
+        r"\bwealthy?\b",
+        r"\bbooming?\b",
+        r"\bcompetitive(ness)?\b",
+        r"\blead(er|ing)\b",
+        r"\bexcellen(t|ce)\b",
+        r"\bsuperior\b",
+    ],
+    "Stability/Order": [
+        r"\bharmon(y|ious)\b",
+        r"\bcooperat(e|ion|ive)\b",
+        r"\bunit(y|ied)\b",
+        r"\bpeace(ful)?\b",
+        r"\balliance\b",
+        r"\bpartnership\b",
+        r"\bdisciplin(e|ed)\b",
+        r"\bcompetent\b",
+    ],
 }
 NEGATIVE = {
-    "Fear/Anxiety": r"""
-        \bfear\b \bafraid\b \bscared\b \bworried?\b \bworry(ing)?\b \bpanic\b \bcrisis|cr(ises|isis)\b
-        \bcollapse[ds]?\b \bdark\b \bterrible\b \bthreat(en(ing|s)?)?\b \bscary\b \banxious\b \banxiety\b
-        \bunsettl(ing|ed)\b \balarming\b \bperil\b \bdoom(ed)?\b \bscare\b""",
-    "Anger/Conflict": r"""
-        \bangry\b \banger\b \bfrustrat(ed|ing|ion)\b \bconflict\b \bfight(ing)?\b \bwar(s)?\b \bviolen(t|ce)\b
-        \bhostile\b \brage\b \benemy\b \bclash(es)?\b \bcontrovers(y|ial)\b \bdisput(e|es|ing)\b
-        \bconfront(ation|ing)?\b \bresen(t|tment)\b \bhatred?\b""",
-    "Decline/Destruction": r"""
-        \bbad(ly)?\b \bworse\b \bworst\b \bdecline[ds]?\b \bdeclining\b \bloss\b \blost\b \bdestruct(ive|ion)\b
-        \bdamage[ds]?\b \bsuffer(ing)?\b \bdifficult\b \bpain(ful)?\b \bproblem(s|atic)?\b \btrouble\b
-        \bweak(ness|en(ed)?)?\b \bdecay\b \bdeteriorat(e|ion|ing)\b \bnegative\b \bdownside\b \bbroke\b \bbroken\b
-        \bstruggl(e|ing|es)\b \bworsen(ing|s)?\b \bdeteriorat(e|ion|ing)\b \bsurrendering?\b
-        \bdepreciat(e|ion|ing)\b \bimpoverish(ed|ment)?\b \berod(e|ing|ion)\b \bshambles?\b \bmeltdowns?\b
-        \bdownturns?\b \brecession\b \bdepression\b \bstagflat(e|ion)\b \bdefault[ds]?\b \binsolven(t|cy)\b
-        \bbankrupt(cy)?\b""",
-    "Crisis/Urgency": r"""
-        \bdesperate\b \bcritical\b \bemergency\b \bcatastroph(e|ic)\b \bdisaster(s)?\b \binevitable\b
-        \bvulnerable\b \bvulnerability\b \bsqueeze[ds]?\b \bunsustainable\b \bdanger(ous)?\b \bgrave\b \bsevere\b
-        \bunprecedented\b""",
-    "Financial/Political Risk": r"""
-        \bimbalance[ds]?\b \brisk(ing|ed|s)?\b \bdebt(s)?\b \bdeficit\b \bborrow(ing|ed)?\b \binflation(ary)?\b
-        \bhyperinflation\b \bprint(ing)?\s+money\b \bcivil\s+war\b \brevolut(ion|ions|ionary)\b
-        \bregime\s+change\b \bcoup[ds]?\b \boverthrow\b \bcyber\s?(war|attack)\b \bsanction[ds]?\b
-        \btariff[ds]?\b \bprotectionis(m|t)\b \bde(-)?globalization\b \bfragmentation\b""",
+    "Fear/Anxiety": [
+        r"\bfear\b",
+        r"\bafraid\b",
+        r"\bscared\b",
+        r"\bworried?\b",
+        r"\bworry(ing)?\b",
+        r"\bpanic\b",
+        r"\bcrisis|cr(ises|isis)\b",
+        r"\bcollapse[ds]?\b",
+        r"\bdark\b",
+        r"\bterrible\b",
+        r"\bthreat(en(ing|s)?)?\b",
+        r"\bscary\b",
+        r"\banxious\b",
+        r"\banxiety\b",
+        r"\bunsettl(ing|ed)\b",
+        r"\balarming\b",
+        r"\bperil\b",
+        r"\bdoom(ed)?\b",
+        r"\bscare\b",
+    ],
+    "Anger/Conflict": [
+        r"\bangry\b",
+        r"\banger\b",
+        r"\bfrustrat(ed|ing|ion)\b",
+        r"\bconflict\b",
+        r"\bfight(ing)?\b",
+        r"\bwar(s)?\b",
+        r"\bviolen(t|ce)\b",
+        r"\bhostile\b",
+        r"\brage\b",
+        r"\benemy\b",
+        r"\bclash(es)?\b",
+        r"\bcontrovers(y|ial)\b",
+        r"\bdisput(e|es|ing)\b",
+        r"\bconfront(ation|ing)?\b",
+        r"\bresen(t|tment)\b",
+        r"\bhatred?\b",
+    ],
+    "Decline/Destruction": [
+        r"\bbad(ly)?\b",
+        r"\bworse\b",
+        r"\bworst\b",
+        r"\bdecline[ds]?\b",
+        r"\bdeclining\b",
+        r"\bloss\b",
+        r"\blost\b",
+        r"\bdestruct(ive|ion)\b",
+        r"\bdamage[ds]?\b",
+        r"\bsuffer(ing)?\b",
+        r"\bdifficult\b",
+        r"\bpain(ful)?\b",
+        r"\bproblem(s|atic)?\b",
+        r"\btrouble\b",
+        r"\bweak(ness|en(ed)?)?\b",
+        r"\bdecay\b",
+        r"\bdeteriorat(e|ion|ing)\b",
+        r"\bnegative\b",
+        r"\bdownside\b",
+        r"\bbroke\b",
+        r"\bbroken\b",
+        r"\bstruggl(e|ing|es)\b",
+        r"\bworsen(ing|s)?\b",
+        r"\bdeteriorat(e|ion|ing)\b",
+        r"\bsurrendering?\b",
+        r"\bdepreciat(e|ion|ing)\b",
+        r"\bimpoverish(ed|ment)?\b",
+        r"\berod(e|ing|ion)\b",
+        r"\bshambles?\b",
+        r"\bmeltdowns?\b",
+        r"\bdownturns?\b",
+        r"\brecession\b",
+        r"\bdepression\b",
+        r"\bstagflat(e|ion)\b",
+        r"\bdefault[ds]?\b",
+        r"\binsolven(t|cy)\b",
+        r"\bbankrupt(cy)?\b",
+    ],
+    "Crisis/Urgency": [
+        r"\bdesperate\b",
+        r"\bcritical\b",
+        r"\bemergency\b",
+        r"\bcatastroph(e|ic)\b",
+        r"\bdisaster(s)?\b",
+        r"\binevitable\b",
+        r"\bvulnerable\b",
+        r"\bvulnerability\b",
+        r"\bsqueeze[ds]?\b",
+        r"\bunsustainable\b",
+        r"\bdanger(ous)?\b",
+        r"\bgrave\b",
+        r"\bsevere\b",
+        r"\bunprecedented\b",
+    ],
+    "Financial/Political Risk": [
+        r"\bimbalance[ds]?\b",
+        r"\brisk(ing|ed|s)?\b",
+        r"\bdebt(s)?\b",
+        r"\bdeficit\b",
+        r"\bborrow(ing|ed)?\b",
+        r"\binflation(ary)?\b",
+        r"\bhyperinflation\b",
+        r"\bprint(ing)?\s+money\b",
+        r"\bcivil\s+war\b",
+        r"\brevolut(ion|ions|ionary)\b",
+        r"\bregime\s+change\b",
+        r"\bcoup[ds]?\b",
+        r"\boverthrow\b",
+        r"\bcyber\s?(war|attack)\b",
+        r"\bsanction[ds]?\b",
+        r"\btariff[ds]?\b",
+        r"\bprotectionis(m|t)\b",
+        r"\bde(-)?globalization\b",
+        r"\bfragmentation\b",
+    ],
 }
 MODALITY = {
-    "Emphatic/Certain": r"""
-        \balways\b \bcertain(ly)?\b \bdefinite(ly)?\b \babsolutely\b \bobvious(ly)?\b \bclear(ly)?\b
-        \bundoubtedly\b \bsurely\b \bindeed\b \bfirm(ly)?\b \bstrongly\b \bprofoundly\b \bnever\b \beveryone\b
-        \beverything\b \bof\s+course\b \bwithout\s+question\b \bno\s+doubt\b \bbeyond\s+(any\s+)?doubt\b
-        \bfor\s+sure\b \bthere\'?s\s+no\s+question\b \byou\s+can\s+see\b \byou\s+will\s+see\b
-        \bthat\s+is\s+what\s+(always|invariably)\b \bit\s+is\s+(always|invariably|inevitably)\b \bevery\b \ball\b
-        \bentire\b \btotal\b \bwhole\b""",
-    "Hedging/Doubt": r"""
-        \buncertain(ty)?\b \bunclear\b \bunknown\b \bdoubt\b \bmaybe\b \bperhap(s)?\b \bpossibly\b \bprobably\b
-        \bambiguous\b \bconfus(ing|ion)\b \bcomplex\b \bcomplicated\b \brough(ly)?\b \bguess\b \btend(s|ed)?\b
-        \buncertainly\b \bseem(s|ed)?\b \bappear(s|ed)?\b \bsomewhat\b \bpartial(ly)?\b \bI\s+think\b
-        \bI\s+believe\b \bI\s+would\s+say\b \bdepend(s|ing)?\b \bnot\s+(necessarily|exactly|entirely)\b""",
-    "Intensity Boosters": r"""
-        \bvery\b \bextremely\b \bdeeply\b \benormous\b \bmassive(ly)?\b \bhuge\b \bsevere\b \bdramatic\b
-        \bprofound\b \bextraordinary\b \btremendous\b \bintense\b \bradical(ly)?\b \btotally\b \bcompletely\b
-        \bentirely\b \bimmense(ly)?\b \bgigantic\b \bcolossal\b \bdevastating\b \bshattering\b \boverwhelming\b
-        \bstaggering\b \bunbelievable?\b""",
+    "Emphatic/Certain": [
+        r"\balways\b",
+        r"\bcertain(ly)?\b",
+        r"\bdefinite(ly)?\b",
+        r"\babsolutely\b",
+        r"\bobvious(ly)?\b",
+        r"\bclear(ly)?\b",
+        r"\bundoubtedly\b",
+        r"\bsurely\b",
+        r"\bindeed\b",
+        r"\bfirm(ly)?\b",
+        r"\bstrongly\b",
+        r"\bprofoundly\b",
+        r"\bnever\b",
+        r"\beveryone\b",
+        r"\beverything\b",
+        r"\bof\s+course\b",
+        r"\bwithout\s+question\b",
+        r"\bno\s+doubt\b",
+        r"\bbeyond\s+(any\s+)?doubt\b",
+        r"\bfor\s+sure\b",
+        r"\bthere\'?s\s+no\s+question\b",
+        r"\byou\s+can\s+see\b",
+        r"\byou\s+will\s+see\b",
+        r"\bthat\s+is\s+what\s+(always|invariably)\b",
+        r"\bit\s+is\s+(always|invariably|inevitably)\b",
+        r"\bevery\b",
+        r"\ball\b",
+        r"\bentire\b",
+        r"\btotal\b",
+        r"\bwhole\b",
+    ],
+    "Hedging/Doubt": [
+        r"\buncertain(ty)?\b",
+        r"\bunclear\b",
+        r"\bunknown\b",
+        r"\bdoubt\b",
+        r"\bmaybe\b",
+        r"\bperhap(s)?\b",
+        r"\bpossibly\b",
+        r"\bprobably\b",
+        r"\bambiguous\b",
+        r"\bconfus(ing|ion)\b",
+        r"\bcomplex\b",
+        r"\bcomplicated\b",
+        r"\brough(ly)?\b",
+        r"\bguess\b",
+        r"\btend(s|ed)?\b",
+        r"\buncertainly\b",
+        r"\bseem(s|ed)?\b",
+        r"\bappear(s|ed)?\b",
+        r"\bsomewhat\b",
+        r"\bpartial(ly)?\b",
+        r"\bI\s+think\b",
+        r"\bI\s+believe\b",
+        r"\bI\s+would\s+say\b",
+        r"\bdepend(s|ing)?\b",
+        r"\bnot\s+(necessarily|exactly|entirely)\b",
+    ],
+    "Intensity Boosters": [
+        r"\bvery\b",
+        r"\bextremely\b",
+        r"\bdeeply\b",
+        r"\benormous\b",
+        r"\bmassive(ly)?\b",
+        r"\bhuge\b",
+        r"\bsevere\b",
+        r"\bdramatic\b",
+        r"\bprofound\b",
+        r"\bextraordinary\b",
+        r"\btremendous\b",
+        r"\bintense\b",
+        r"\bradical(ly)?\b",
+        r"\btotally\b",
+        r"\bcompletely\b",
+        r"\bentirely\b",
+        r"\bimmense(ly)?\b",
+        r"\bgigantic\b",
+        r"\bcolossal\b",
+        r"\bdevastating\b",
+        r"\bshattering\b",
+        r"\boverwhelming\b",
+        r"\bstaggering\b",
+        r"\bunbelievable?\b",
+    ],
 }
 NEGATIONS = [r"\bnot\s+(\w+)", r"\bno\s+(\w+)", r"\bnever\s+(\w+)", r"\blos(?:e|ing|t)\s+(\w+)", r"\bwithout\s+(\w+)", r"\bhardly\s+(\w+)", r"\bbarely\s+(\w+)", r"\black\s+of\s+(\w+)", r"\babsence\s+of\s+(\w+)"]
-NEGATABLE = "strong strength growth progress stable stability healthy resilient thriving successful competitive advantage prosperity wealthy promising innovative productive creative excellent"
+NEGATABLE = [
+    "strong",
+    "strength",
+    "growth",
+    "progress",
+    "stable",
+    "stability",
+    "healthy",
+    "resilient",
+    "thriving",
+    "successful",
+    "competitive",
+    "advantage",
+    "prosperity",
+    "wealthy",
+    "promising",
+    "innovative",
+    "productive",
+    "creative",
+    "excellent",
+]
 NEGATED_INTO = "Decline/Destruction"
 NORM_CHARS = 30000
 
-CATEGORIES: dict[str, list[str]] = {c: p.split() for part in (POSITIVE, NEGATIVE, MODALITY) for c, p in part.items()}
+CATEGORIES: dict[str, list[str]] = {c: p for part in (POSITIVE, NEGATIVE, MODALITY) for c, p in part.items()}
 
 
 def negated_categories() -> dict[str, list[str]]:
     """The negatable words that a positive pattern matches as a whole, by category, once for each such pattern."""
-    return {c: [w for w in NEGATABLE.split() for p in POSITIVE[c].split() if re.fullmatch(p, w)] for c in POSITIVE}
+    return {c: [w for w in NEGATABLE for p in POSITIVE[c] if re.fullmatch(p, w)] for c in POSITIVE}
 
 
 def column_name(category: str) -> str:
@@ -138,7 +347,7 @@ def counts(text: Column, hit: Column | None = None) -> dict[str, Column]:
     return out
 
 
-def total(part: dict[str, str]) -> Column:
+def total(part: dict[str, list[str]]) -> Column:
     """Sum of the count columns of a section."""
     out = F.lit(0)
     for c in part:

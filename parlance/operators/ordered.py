@@ -115,11 +115,17 @@ def dedup_consecutive(lines: Column) -> Column:
 
 
 # Fixed values of the line fold: abbreviations that a line may end in, words that never end a sentence, and the patterns.
-ABBREVIATIONS = "mr. mrs. ms. dr. prof. sr. jr. st. ave. blvd. dept. co. inc. ltd. corp. gen. sgt. capt. lt. gov. sen. rep. hon. rev. fr. jr. sr. esq. etc. vs. a.m. p.m. u.s. u.k. e.u."
-FUNCTION_WORDS = (
-    "the a an to of in on at for with by that this these those which who whom whose and or but nor yet so if as than "
-    "from into through during before after is are was were be been being has have had do does did will would can could shall should may might"
-)
+ABBREVIATIONS = [
+    "mr.", "mrs.", "ms.", "dr.", "prof.", "sr.", "jr.", "st.", "ave.", "blvd.", "dept.", "co.", "inc.", "ltd.",
+    "corp.", "gen.", "sgt.", "capt.", "lt.", "gov.", "sen.", "rep.", "hon.", "rev.", "fr.", "jr.", "sr.", "esq.",
+    "etc.", "vs.", "a.m.", "p.m.", "u.s.", "u.k.", "e.u.",
+]
+FUNCTION_WORDS = [
+    "the", "a", "an", "to", "of", "in", "on", "at", "for", "with", "by", "that", "this", "these", "those", "which",
+    "who", "whom", "whose", "and", "or", "but", "nor", "yet", "so", "if", "as", "than", "from", "into", "through",
+    "during", "before", "after", "is", "are", "was", "were", "be", "been", "being", "has", "have", "had", "do",
+    "does", "did", "will", "would", "can", "could", "shall", "should", "may", "might",
+]
 _ENDS = r"""[.!?…]['"’”)]?$"""
 _CONTINUES = r"""^[a-z"'‘“(]"""
 
@@ -130,12 +136,12 @@ def continues(line: Column, following: Column, strict: bool = False) -> Column:
     Without strict, a line that ends in the letters of an abbreviation is no
     boundary ("have." ends in "ave."); strict asks for the abbreviation as a word of its own.
     """
-    ends = "|".join(a.replace(".", r"\.") for a in dict.fromkeys(ABBREVIATIONS.split()))
+    ends = "|".join(a.replace(".", r"\.") for a in dict.fromkeys(ABBREVIATIONS))
     abbreviated = F.regexp_like(F.lower(line), F.lit(rf"(?:^|\s)(?:{ends})$" if strict else rf"(?:{ends})$"))
     boundary = ~abbreviated & F.regexp_like(line, F.lit(_ENDS))
     lower = F.regexp_like(F.ltrim(following), F.lit(_CONTINUES))
     last = F.regexp_replace(F.lower(F.regexp_extract(line, r"(\S+)\s*$", 1)), r"""^[.,!?;:'"()\[\]-]+|[.,!?;:'"()\[\]-]+$""", "")
-    joins = F.regexp_like(line, F.lit(r"(,|[-–—]+)$")) | last.isin(FUNCTION_WORDS.split()) | lower
+    joins = F.regexp_like(line, F.lit(r"(,|[-–—]+)$")) | last.isin(FUNCTION_WORDS) | lower
     short = (F.size(F.split(F.trim(line), r"\s+")) <= 3) & ~F.regexp_like(line, F.lit(r"[.!?…]$"))
     return F.when(boundary & ~lower, False).otherwise(joins | short)
 

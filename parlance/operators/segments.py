@@ -55,6 +55,13 @@ def text_quality(segments: DataFrame, duration: DataFrame) -> DataFrame:
     return agg.select("file", "segments", "total_words", "short_segments", "empty_segments", "filler_words", "caption_segments", "non_english_segments", F.greatest(score, F.lit(0)).alias("text_score"), flags.alias("text_flags"))
 
 
+def speaker_shares(segments: DataFrame) -> DataFrame:
+    """file and its speakers as `speaker=segments`, the most first; equal ones by name."""
+    n = segments.groupBy("file", "speaker").agg(F.count(F.lit(1)).alias("n"))
+    one = n.groupBy("file").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "speaker"))).alias("r"))
+    return one.select("file", F.array_join(F.transform("r", lambda x: F.concat(x["speaker"], F.lit("="), (-x["less"]).cast("string"))), ",").alias("shares"))
+
+
 def diarization_stability(segments: DataFrame) -> DataFrame:
     """Speakers, very short segments, unknown share, change rate and spread of durations by file."""
     c = F.col

@@ -9,6 +9,19 @@ from pyspark.sql import functions as F
 STATES = ["pending", "uploading", "uploaded", "processing", "done", "failed"]
 MAX_RETRIES = 3
 
+#: Statuses of videos that each stage leaves out.
+EXCLUDED = {
+    "captions": ["unavailable", "no_captions", "audio_failed", "filtered"],
+    "rules": ["unavailable", "no_captions", "filtered"],
+    "selection": ["unavailable", "no_captions", "audio_failed", "filtered"],
+}
+
+
+def open_for(videos: DataFrame, stage: str, have: DataFrame | None = None) -> DataFrame:
+    """Videos (id, status, ...) that a stage still has to do: an id, no status that it leaves out (null is none), and not among those it has."""
+    rows = videos.where((F.coalesce(F.col("id").cast("string"), F.lit("")) != "") & ~F.coalesce("status", F.lit("")).isin(EXCLUDED[stage]))
+    return rows if have is None else rows.join(have.select("id"), "id", "left_anti")
+
 
 def after(event: Column, failures: Column, max_retries: int = MAX_RETRIES) -> Column:
     """The state that the last event leaves: a failure goes back to uploaded until the tries are used up."""

@@ -102,16 +102,9 @@ NEGATION_ROWS = [
 ]
 
 
-@query(f"with c as (select id, {CLEAN.format('text')} as t from {_fixture_sql(NEGATION_ROWS)}), n as (select id, {COUNTS} from c) select *, {LABELS} from n")
-def lexicon_negation(spark, sf_dir):
-    """Fixed sentences: a negated positive word leaves its category and counts as decline."""
-    df = spark.createDataFrame(NEGATION_ROWS, "id int, text string")
-    return scored(df, "text", "id").drop("t").withColumns({"valence": lexicon.valence(), "certainty": lexicon.certainty()})
-
-
 @query(f"with d as (select cast(doc_id as bigint) as id, text from documents union all select cast(-id as bigint), text from {_fixture_sql(NEGATION_ROWS)}), c as (select id, {CLEAN.format('text')} as t from d), n as (select id, {COUNTS} from c) select *, {LABELS} from n")
-def lexicon_negation_whole(spark, sf_dir):
-    """All documents, and the fixed sentences of lexicon_negation by their negated ids."""
+def lexicon_negation(spark, sf_dir):
+    """All documents, and fixed sentences by their negated ids: a negated positive word leaves its category and counts as decline."""
     fixed = spark.createDataFrame([(-i, t) for i, t in NEGATION_ROWS], "id long, text string")
     df = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("id"), "text").unionByName(fixed)
     return scored(df, "text", "id").drop("t").withColumns({"valence": lexicon.valence(), "certainty": lexicon.certainty()})
@@ -167,16 +160,9 @@ RULE_SQL = "case " + " ".join(f"when regexp_matches(trim(d), {_quoted(p)}) then
 _DESCRIPTIONS = ["A mini documentary on power", "The biography of a king", "A lightning rod for conspiracy", "From rags to riches", "A book about the treasury: the Fed and its chair", "An interview", ""]
 
 
-@query(f"select doc_id, {RULE_SQL} as reason from (select doc_id, lang as l, case doc_id % 8 " + " ".join(f"when {i} then {_quoted(d)}" for i, d in enumerate(_DESCRIPTIONS)) + " else text[:1000] end as d from documents)")
-def rule_classifier(spark, sf_dir):
-    """The first description rule that holds, else the language."""
-    d = F.expr("case doc_id % 8 " + " ".join(f"when {i} then {_quoted(x)}" for i, x in enumerate(_DESCRIPTIONS)) + " else substring(text, 1, 1000) end")
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", d.alias("d")).select("doc_id", evidence.exclusion(F.col("d"), F.col("lang")).alias("reason"))
-
-
 @query(f"select doc_id, {RULE_SQL} as reason from (select doc_id, lang as l, text as d from documents)")
-def rule_classifier_whole(spark, sf_dir):
-    """The first description rule that holds for a document's own, whole text, else the language; rule_classifier and its twin judge one in eight by its first 1,000 characters."""
+def rule_classifier(spark, sf_dir):
+    """The first description rule that holds for a document's own, whole text, else the language."""
     return table(spark, sf_dir, "documents").select("doc_id", evidence.exclusion(F.col("text"), F.col("lang")).alias("reason"))
 
 

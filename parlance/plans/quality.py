@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from parlance.functions import evidence, replies
 from parlance.operators import segments as seg
 from parlance.plans.corpus import WORDS, _quoted
-from parlance.plans.registry import query, table
+from parlance.plans.registry import ORACLES, query, table
 
 SEG = "seg as (select conv_id as file, turn as idx, case role when 'system' then 'UNKNOWN' else role end as speaker, turn * 20.0 + conv_id % 7 as s, turn * 20.0 + conv_id % 7 + length(text) / 10.0 as e, text, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') as t from conversations), dur as (select file, max(e) + 3 as duration from seg group by file)"
 
@@ -176,7 +176,15 @@ def identity_score(spark, sf_dir):
     return v.select("page_id", *(c.alias(n) for n, c in out.items() if n != "transcript_score"))
 
 
-@query()
+_ALIASED = "(?:ada lovelace|lovelace)"
+_HEARD = rf"""(4 * cast(regexp_matches(e, '\b(?:{"|".join(x.replace("'", "''") for x in evidence.INTRODUCTIONS)})\b.{{0,120}}\b{_ALIASED}\b') or regexp_matches(e, '\b{_ALIASED}\b.{{0,80}}\b(?:{"|".join(x.replace("'", "''") for x in evidence.INTRODUCTIONS)})\b') as int)
++ 4 * cast(regexp_matches(e, '\b(?:{"|".join(x.replace("'", "''") for x in evidence.SELF_INTRODUCTIONS)})\b.{{0,40}}\b{_ALIASED}\b') as int) + 3 * cast(regexp_matches(e, '\bada\b') and regexp_matches(e, '\blovelace\b') as int)
++ case when len(regexp_extract_all(x, '\blovelace\b')) >= 3 then 3 when len(regexp_extract_all(x, '\blovelace\b')) >= 1 then 1 else 0 end)"""
+
+
+@query(f"""with m as ({ORACLES["identity_score"]}), x as (select page_id, {_norm("strip_accents(html)")} as x from pages), e as (select page_id, x, left(x, 8000) as e from x),
+h as (select page_id, {_HEARD} as heard from e), s as (select m.*, cast(heard as int) as heard, identity_score + heard as score from m join h using (page_id))
+select page_id, cast(score as int) as identity_score, case when score >= 4 then 'likely_match' when score >= 1 then 'review' else 'high_risk' end as identity_status, concat_ws('; ', nullif(identity_reasons, ''), case when heard > 0 then 'transcript_evidence:' || heard end) as identity_reasons, heard as transcript_score from s""")
 def identity_with_transcript(spark, sf_dir):
     """The same with what the transcript adds, each page's whole html; tested on fixed texts."""
     v = _videos(spark, sf_dir)
@@ -203,11 +211,3 @@ def tsp_predict(spark, sf_dir):
     total = weight("vt") + weight("vd") + weight("vx")
     mean = (F.col("vt.tsp") * weight("vt") + F.coalesce(F.col("vd.tsp") * weight("vd"), F.lit(0)) + F.col("vx.tsp") * weight("vx")) / total
     return v.select("page_id", mean.alias("mean_vote"), F.col("vt.tsp").alias("vote_title"), F.col("vd.tsp").alias("vote_description"), F.col("vx.tsp").alias("vote_transcript"), out["confidence"].alias("confidence"))
-
-
-@query()
-def tsp_review(spark, sf_dir):
-    """Predictions to one digit (half to even), grade hints, and what a person should look at, in that order; tested on fixed votes."""
-    v = tsp_predict(spark, sf_dir).withColumn("tsp", F.bround("mean_vote", 1))
-    review = (F.col("confidence") == "low") | (F.col("tsp") < 3) & (F.col("confidence") != "high")
-    return v.select("page_id", "tsp", "confidence", review.alias("needs_review"), evidence.grade_hint(F.col("tsp")).alias("grade_hint")).orderBy("tsp", F.desc("needs_review"), "page_id")

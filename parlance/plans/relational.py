@@ -61,15 +61,8 @@ def id_except(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")).distinct().join(table(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("id")), "id", "left_anti")
 
 
-@query("select 1 as part, s_name as name from supplier union all select 2, c_name from customer where c_custkey <= 100")
-def bag_union(spark, sf_dir):
-    """One list before the other, repeats kept."""
-    first = table(spark, sf_dir, "supplier").select(F.lit(1).alias("part"), F.col("s_name").alias("name"))
-    return first.unionByName(table(spark, sf_dir, "customer").where("c_custkey <= 100").select(F.lit(2).alias("part"), F.col("c_name").alias("name")))
-
-
 @query("select 1 as part, s_name as name from supplier union all select 2, c_name from customer")
-def bag_union_whole(spark, sf_dir):
+def bag_union(spark, sf_dir):
     """Two whole lists, one before the other, repeats kept; bag_union and its twin take the second one's first rows only."""
     first = table(spark, sf_dir, "supplier").select(F.lit(1).alias("part"), F.col("s_name").alias("name"))
     return first.unionByName(table(spark, sf_dir, "customer").select(F.lit(2).alias("part"), F.col("c_name").alias("name")))
@@ -94,21 +87,10 @@ def interval_best_match(spark, sf_dir):
     return relational.best_overlap(x.where(spoken), turns, "user_id", ["event_id"], bucket=86400.0).select("event_id", "label")
 
 
-@query("""with s as (select c_custkey as id, 'speaker' || c_nationkey % 5 as speaker, case when c_custkey % 7 = 0 then '' else c_name end as title, case when c_custkey % 3 = 0 then null else c_mktsegment end as channel, case when c_custkey % 2 = 0 then 'new description' end as description from customer where c_custkey % 4 <> 3),
-x as (select c_custkey as id, 'speaker' || c_nationkey % 5 as speaker, 'old ' || c_name as title, 'old channel' as channel, case when c_custkey % 6 = 0 then 'old description' else '' end as description, case when c_custkey % 5 = 0 then 'filtered' end as status from customer where c_custkey % 2 = 0)
-select s.id, s.speaker, coalesce(nullif(s.title, ''), x.title) as title, coalesce(nullif(s.channel, ''), x.channel) as channel, coalesce(nullif(x.description, ''), s.description) as description, x.status from s left join x on s.id = x.id and s.speaker = x.speaker""")
-def upsert_refresh(spark, sf_dir):
-    """A search list over the stored list."""
-    c = table(spark, sf_dir, "customer").withColumn("speaker", F.concat(F.lit("speaker"), (F.col("c_nationkey") % 5).cast("string")))
-    search = c.where("c_custkey % 4 <> 3").selectExpr("c_custkey id", "speaker", "case when c_custkey % 7 = 0 then '' else c_name end title", "case when c_custkey % 3 = 0 then null else c_mktsegment end channel", "case when c_custkey % 2 = 0 then 'new description' end description")
-    stored = c.where("c_custkey % 2 = 0").selectExpr("c_custkey id", "speaker", "concat('old ', c_name) title", "'old channel' channel", "case when c_custkey % 6 = 0 then 'old description' else '' end description", "case when c_custkey % 5 = 0 then 'filtered' end status")
-    return relational.upsert(search, stored, ["id", "speaker"], ["title", "channel"], ["description"])
-
-
 @query("""with s as (select c_custkey as id, 'speaker' || c_nationkey % 5 as speaker, case when c_mktsegment = 'BUILDING' then '' else c_name end as title, case when c_acctbal >= 0 then c_mktsegment end as channel, case when c_acctbal > 5000 then 'new description' end as description from customer),
 x as (select s_suppkey as id, 'speaker' || s_nationkey % 5 as speaker, 'old ' || s_name as title, 'old channel' as channel, case when s_acctbal > 5000 then 'old description' else '' end as description, case when s_acctbal < 0 then 'filtered' end as status from supplier)
 select s.id, s.speaker, coalesce(nullif(s.title, ''), x.title) as title, coalesce(nullif(s.channel, ''), x.channel) as channel, coalesce(nullif(x.description, ''), s.description) as description, x.status from s left join x on s.id = x.id and s.speaker = x.speaker""")
-def upsert_refresh_whole(spark, sf_dir):
+def upsert_refresh(spark, sf_dir):
     """All customers as a search list over all suppliers as the stored list; upsert_refresh and its twin take both sides by customer keys."""
     speaker = lambda c: f"concat('speaker', {c} % 5) speaker"
     search = table(spark, sf_dir, "customer").selectExpr("c_custkey id", speaker("c_nationkey"), "case when c_mktsegment = 'BUILDING' then '' else c_name end title", "case when c_acctbal >= 0 then c_mktsegment end channel", "case when c_acctbal > 5000 then 'new description' end description")
@@ -126,24 +108,11 @@ def metadata_fallback(spark, sf_dir):
     return rows.select("doc_id", F.coalesce(F.nullif("lang", F.lit("")), F.col("m_lang")).alias("language"), verdict.alias("verdict"))
 
 
-@query("""with f as (select id, max(a) a, max(b) b, max(c) c, max(d) d from (
-select o_orderkey id, 1 a, 0 b, 0 c, 0 d from orders union all select l_orderkey, 0, 1, 0, 0 from lineitem where l_quantity > 45 union all select o_orderkey, 0, 0, 1, 0 from orders where o_orderstatus = 'F' and o_orderkey % 3 = 0 union all select l_orderkey, 0, 0, 1, 0 from lineitem where l_returnflag = 'A' and l_orderkey % 5 = 0 union all select o_orderkey, 0, 0, 0, 1 from orders where o_orderkey % 2 = 0) group by id),
-x as (select case when c = 1 then 'done' when a = 1 and b = 1 and d = 1 then 'keep' when a = 1 and b = 1 then 'new' else 'missing' end as action from f)
-select action, count(x.action) as n from (values ('done'), ('keep'), ('new'), ('missing'), ('failed')) k(action) left join x using (action) group by action""")
-def manifest_reconcile(spark, sf_dir):
-    """What to do with each id of the list, the audio, two done sets and the manifest; counts with zeros."""
-    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    ids = lambda df, c: df.select(F.col(c).alias("id"))
-    done = [ids(orders.where("o_orderstatus = 'F' and o_orderkey % 3 = 0"), "o_orderkey"), ids(lines.where("l_returnflag = 'A' and l_orderkey % 5 = 0"), "l_orderkey")]
-    out = relational.reconcile(ids(orders, "o_orderkey"), ids(lines.where("l_quantity > 45"), "l_orderkey"), done, ids(orders.where("o_orderkey % 2 = 0"), "o_orderkey"), "id")
-    return relational.counted(out, "action", ["done", "keep", "new", "missing", "failed"])
-
-
 @query("""with f as (select id, max(a) a, max(b) b, max(c) c, max(d) d from (
 select o_orderkey id, 1 a, 0 b, 0 c, 0 d from orders union all select l_orderkey, 0, 1, 0, 0 from lineitem where l_quantity > 45 union all select o_orderkey, 0, 0, 1, 0 from orders where o_orderstatus = 'F' and o_orderpriority = '1-URGENT' union all select l_orderkey, 0, 0, 1, 0 from lineitem where l_returnflag = 'A' and l_linestatus = 'F' and l_quantity > 40 union all select o_orderkey, 0, 0, 0, 1 from orders where o_orderstatus <> 'P') group by id),
 x as (select case when c = 1 then 'done' when a = 1 and b = 1 and d = 1 then 'keep' when a = 1 and b = 1 then 'new' else 'missing' end as action from f)
 select action, count(x.action) as n from (values ('done'), ('keep'), ('new'), ('missing'), ('failed')) k(action) left join x using (action) group by action""")
-def manifest_reconcile_whole(spark, sf_dir):
+def manifest_reconcile(spark, sf_dir):
     """As manifest_reconcile, with the done sets and the manifest by status, priority and flags instead of by order keys."""
     orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     ids = lambda df, c: df.select(F.col(c).alias("id"))
@@ -310,9 +279,9 @@ def seeded_shuffle(spark, sf_dir):
     return ordered.running_total(rows, F.lit(1).cast("long"), ["h", "s_suppkey"], "place").select("s_suppkey", "place")
 
 
-@query("select o_orderkey, o_orderdate, o_totalprice from orders order by o_orderdate desc, o_orderkey limit 25")
+@query("select o_orderkey, o_orderdate, o_totalprice from orders")
 def newest_first(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(25)
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice").orderBy(F.desc("o_orderdate"), "o_orderkey")
 
 
 @query("select p_partkey, p_name[:100] as title, p_type[:40] as channel from part where p_size > 10 and p_size < 30")

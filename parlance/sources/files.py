@@ -57,6 +57,14 @@ def transcripts(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("file", "idx", "s.speaker", "s.start", "s.end", "s.text", "duration")
 
 
+def transcript_errors(spark: SparkSession, path: str) -> DataFrame:
+    """file and error of documents that are no transcripts: no JSON object, or one without segments."""
+    raw = spark.read.text(path, wholetext=True).select(_stem().alias("file"), F.try_parse_json("value").alias("doc"))
+    said = F.when(F.col("doc").isNull() | ~F.startswith(F.schema_of_variant("doc"), F.lit("OBJECT")), "not a JSON object")
+    said = said.when(F.try_variant_get("doc", "$.segments", "variant").isNull(), "not a transcription JSON (no 'segments' key)")
+    return raw.select("file", said.alias("error")).where("error is not null")
+
+
 def whole_texts(spark: SparkSession, path: str, suffix: str = ".txt") -> DataFrame:
     """video_id (the file's stem) and its whole text."""
     return spark.read.option("pathGlobFilter", f"*{suffix}").text(path, wholetext=True).select(_stem().alias("video_id"), F.col("value").alias("text"))
@@ -155,6 +163,47 @@ def write_speaker_turns(df: DataFrame, path: str) -> None:
     rows.select("file", text.alias("value")).write.mode("overwrite").partitionBy("file").text(path)
 
 
+def rewritten(df: DataFrame, path: str, backup: str | None = None) -> None:
+    """df in place of the folder `path` from which it may itself be read: written beside it, then put there by renames.
+
+    The old folder goes to `backup`, or away. A failed run leaves the old folder or, between the
+    renames, both others; nothing is ever half written.
+    """
+    spark = df.sparkSession
+    fresh = f"{path.rstrip('/')}.new"
+    df.write.mode("overwrite").json(fresh)
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    old = backup or f"{path.rstrip('/')}.old"
+    fs.delete(at(old), True)
+    if fs.exists(at(path)) and not fs.rename(at(path), at(old)):
+        raise OSError(f"{path} can't be moved to {old}")
+    if not fs.rename(at(fresh), at(path)):
+        raise OSError(f"{fresh} can't be moved to {path}")
+    if not backup:
+        fs.delete(at(old), True)
+
+
+def audit_lines(results: DataFrame) -> DataFrame:
+    """ord and line of a text report on (domain, speaker, video_id, pos, stage, score, reason): a head for each video, its stages, a blank line."""
+    score = F.when(F.col("score") < 0, "?").otherwise(F.col("score").cast("string"))
+    stage = F.concat(F.lit("  "), F.col("stage"), F.lit(": score="), score, F.lit("  "), F.coalesce("reason", F.lit("")))
+    key = ["domain", "speaker", "video_id"]
+    made = results.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", stage.alias("text")))).alias("r"))
+    head = F.concat(F.lit("["), F.col("domain"), F.lit("] "), F.col("speaker"), F.lit("/"), F.col("video_id").cast("string"))
+    every = F.concat(F.array(head), F.transform("r", lambda x: x["text"]), F.array(F.lit("")))
+    rows = made.select(*key, F.posexplode(every).alias("pos", "line"))
+    return rows.orderBy(*key, "pos")
+
+
+def write_report(lines: DataFrame, path: str, title: str = "Pipeline Quality Audit Report") -> None:
+    """The lines as one text file under a title. For reports, which a person reads: all lines go through one task."""
+    spark = lines.sparkSession
+    top = spark.createDataFrame([(0, title), (1, "=" * 60), (2, "")], "n long, line string")
+    ordered = lines.withColumn("n", F.monotonically_increasing_id() + 3).select("n", "line")
+    top.unionByName(ordered).repartition(1).sortWithinPartitions("n").select("line").write.mode("overwrite").text(path)
+
+
 def report(df: DataFrame) -> str:
     """A small result (one row a group) as pretty JSON."""
     import json

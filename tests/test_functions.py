@@ -62,7 +62,7 @@ def test_lexicon(spark):
 
 def test_negation_never_adds_a_positive_hit(spark):
     rnd = random.Random(2)
-    words = lexicon.NEGATABLE.split() + ["war", "maybe", "always", "the"]
+    words = lexicon.NEGATABLE + ["war", "maybe", "always", "the"]
     plain = [" ".join(rnd.choice(words) for _ in range(6)) for _ in range(30)]
     negated = [s.replace(" ", " not ", 1) for s in plain]
     pos = [lexicon.column_name(c) for c in lexicon.POSITIVE]

@@ -14,7 +14,7 @@ def size(spark, name):
 
 
 def test_bag_union_whole(spark):
-    rows = catalogue.QUERIES["bag_union_whole"](spark, SF).groupBy("part").count().collect()
+    rows = catalogue.QUERIES["bag_union"](spark, SF).groupBy("part").count().collect()
     assert size(spark, "customer") > 100
     assert {r.part: r["count"] for r in rows} == {1: size(spark, "supplier"), 2: size(spark, "customer")}
 
@@ -30,7 +30,7 @@ def test_rule_classifier_whole(spark, tmp_path):
     """A rule's phrase counts in every document, and behind character 1,000."""
     rows = [(i, "x " * 800 + "the untold story", "en", "s") for i in range(8)] + [(8, None, "fr", "s"), (9, "plain", None, "s")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.reason for r in catalogue.QUERIES["rule_classifier_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.reason for r in catalogue.QUERIES["rule_classifier"](spark, str(tmp_path)).collect()}
     assert got == {i: "doc_trope" for i in range(8)} | {8: "lang:fr", 9: ""}
 
 
@@ -55,17 +55,17 @@ def test_stratified_sample_of_nulls_and_shared_keys(spark):
 
 def test_upsert_refresh_whole(spark):
     """Every customer returns, those of each rest of the key."""
-    rows = catalogue.QUERIES["upsert_refresh_whole"](spark, SF).collect()
+    rows = catalogue.QUERIES["upsert_refresh"](spark, SF).collect()
     assert sorted(r.id for r in rows) == sorted(r.c_custkey for r in spark.read.parquet(f"{SF}/customer.parquet").collect())
 
 
 def test_manifest_reconcile_whole(spark):
     """Each order is counted once, and no rest of the order key is left out of any action."""
-    out = {r.action: r.n for r in catalogue.QUERIES["manifest_reconcile_whole"](spark, SF).collect()}
+    out = {r.action: r.n for r in catalogue.QUERIES["manifest_reconcile"](spark, SF).collect()}
     assert sum(out.values()) == size(spark, "orders") and all(out[a] for a in ("done", "keep", "new", "missing"))
 
 
 def test_lexicon_negation_whole(spark):
     """A row for each document besides the fixed sentences."""
-    rows = catalogue.QUERIES["lexicon_negation_whole"](spark, SF)
+    rows = catalogue.QUERIES["lexicon_negation"](spark, SF)
     assert rows.where("id >= 0").count() == size(spark, "documents") and rows.where("id < 0").count() == len(corpus.NEGATION_ROWS)
