@@ -33,6 +33,8 @@ BAND_ROWS = 5
 #: Classes of one block, and shingles; a component (or, for classes, a band) with more is compared block by block.
 BLOCK = 512
 BLOCK_SHINGLES = 1_000_000
+#: Bits of the filter that texts pass before they move; its words are broadcast, one row for 64 bits.
+FILTER_BITS = 1 << 24
 #: Pairs of classes of a band that are compared at once.
 PAIRS = 100_000
 
@@ -295,6 +297,15 @@ def _compare(t: pa.Table, k: int, at_least: Fraction) -> pa.Table:
     return pa.table([pa.array([own[good[i]] for i in keep], types[0]), pa.array(links[keep]), pa.array([own[good[low[i]]] for i in keep], types[2]), pa.array([bool(t["whole"][0].as_py())] * len(keep), types[3])], names=names)
 
 
+def _only_wanted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose doc_id may be one of `wanted`, all that are among them: a bitmap of hashes, of bounded size, spares the others a shuffle."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    word, bit = F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    words = wanted.select(word.alias("__word"), bit.alias("b")).groupBy("__word").agg(F.bit_or("b").alias("__bits"))  # FILTER_BITS / 64 rows at most
+    kept = rows.withColumn("__word", word).join(F.broadcast(words), "__word").where(F.col("__bits").bitwiseAND(bit) != 0)
+    return kept.drop("__word", "__bits")
+
+
 def _grouped(docs: DataFrame, keep: list[str], similarity: float, k: int, recall: float, band_rows: int, block: int, block_shingles: int) -> DataFrame:
     """doc_id, the `keep` columns, root (the class by a digest; null if the row has no words), class_id, n_links and copy_of of each row."""
     at_least = Fraction(similarity).limit_denominator(1000)
@@ -311,7 +322,8 @@ def _grouped(docs: DataFrame, keep: list[str], similarity: float, k: int, recall
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / block_shingles)).cast("int")
     mine = placed.join(placed.groupBy("root").agg(blocks.alias("blocks")), "root")
     mine = mine.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    texts = rows.select("doc_id", "text").where("doc_id is not null").join(mine.select(F.col("copy_of").alias("doc_id"), F.col("node").alias("key"), "root", "blocks", "block", "copies"), "doc_id")
+    mine = mine.select(F.col("copy_of").alias("doc_id"), F.col("node").alias("key"), "root", "blocks", "block", "copies")
+    texts = _only_wanted(rows.select("doc_id", "text").where("doc_id is not null"), placed.select(F.col("copy_of").alias("doc_id"))).join(mine, "doc_id")
     dealt = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("root", "key", "copies", "block", "text", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("blocks") == 1).alias("whole"))
     compared = dealt.groupBy("root", "lo", "hi").applyInArrow(lambda t: _compare(t, k, at_least), "key binary, links long, low binary, whole boolean")
