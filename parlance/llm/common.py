@@ -48,7 +48,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a written table: lineage ends here, and lost executors lose nothing."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
