@@ -5,7 +5,8 @@ anchor that its content alone selects, so that equal windows have equal anchors.
 
 1. Each batch of texts (a partition, or some 80 MB of one) lists its entries: an anchor, and the context (the text of
    the run of windows that belong to it). Within the batch, equal contexts are reduced to their
-   first, so that a text of a third of all rows is one entry a batch.
+   first, so that a text of a third of all rows is one entry a batch. Contexts are equal if two
+   independent 64-bit hashes are: the second verifies what the first reveals.
 2. Entries meet by anchor. Equal contexts settle each other at once; only where
    an anchor has several contexts does one of each have to be compared further.
    An anchor with many contexts in a batch is hot there: its entries meet by context instead, spread over all
@@ -59,20 +60,25 @@ def xxhash64(x: np.ndarray, seed: int = 42) -> np.ndarray:
 
 @dataclass
 class Entries:
-    """doc: index of the text; lo, hi: first and last start of its windows in the text; anchor, ctx: hashes."""
+    """doc: index of the text; lo, hi: first and last start of its windows in the text; anchor, ctx: hashes; check: one of the context by another function, which verifies an equal ctx."""
 
     doc: np.ndarray
     lo: np.ndarray
     hi: np.ndarray
     anchor: np.ndarray
     ctx: np.ndarray
+    check: np.ndarray
+
+    @staticmethod
+    def none() -> Entries:
+        return Entries(*(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64)))
 
 
 @dataclass
 class Repeats:
     """What an operator brings to the course; all functions run on the executors.
 
-    find: entries of texts. settle: codes of the entries of a bucket, in order of anchor, context, id and place, and whether all are of hot anchors. ask: packed
+    find: entries of texts. settle: codes of the entries of a bucket, in order of anchor, context (ctx, check), id and place, and whether all are of hot anchors. ask: packed
     columns of the open entries, with a bucket hash. resolve: answers (id, at, count)
     to the questions of a bucket: starts at .. at + count - 1 repeat. finish: n,
     removed, spans, sha and kept text, given the ranges of repeated starts.
@@ -87,10 +93,11 @@ class Repeats:
     repeated: tuple[int, ...] = (REPEATED, REPEATED_ASK)  # codes that say that all windows repeat
 
 
-ENTRY = "bucket int, id binary, at binary, anchor binary, ctx binary, flag binary"
-SETTLED = ["id", "at", "anchor", "ctx", "flag", "code"]
+FIELDS = ["id", "at", "anchor", "ctx", "check", "flag"]
+ENTRY = "bucket int, " + ", ".join(f"{c} binary" for c in FIELDS)
+SETTLED = [*FIELDS, "code"]
 REPLY = "slot int, id binary, at binary, ctx binary, code binary"
-_TYPES = {"id": np.int64, "at": np.int64, "anchor": np.uint64, "ctx": np.uint64, "flag": np.uint8, "code": np.uint8, "count": np.int32, "hash": np.uint64, "len": np.int32, "own": np.int32, "data": np.uint8}
+_TYPES = {"id": np.int64, "at": np.int64, "anchor": np.uint64, "ctx": np.uint64, "check": np.uint64, "flag": np.uint8, "code": np.uint8, "count": np.int32, "hash": np.uint64, "len": np.int32, "own": np.int32, "data": np.uint8}
 #: Narrower forms while they travel.
 _PACKED = {"at": np.int32, "anchor": np.uint32}
 
@@ -156,7 +163,7 @@ def deduplicated(docs: DataFrame, op: Repeats, texts: bool = False, keep: list[s
         for b in pieces(batches):
             e = op.find(texts_of(b.column(1)))
             if len(e.doc):
-                held.append((_ids(b.column(0))[e.doc], e.lo.astype(np.int64), e.anchor, e.ctx))
+                held.append((_ids(b.column(0))[e.doc], e.lo.astype(np.int64), e.anchor, e.ctx, e.check))
                 n_held += len(e.doc)
             if n_held >= HELD_ENTRIES:
                 yield reduced(*(np.concatenate(x) for x in zip(*held)))
@@ -164,11 +171,11 @@ def deduplicated(docs: DataFrame, op: Repeats, texts: bool = False, keep: list[s
         if held:
             yield reduced(*(np.concatenate(x) for x in zip(*held)))
 
-    def reduced(ids: np.ndarray, at: np.ndarray, anchor: np.ndarray, ctx: np.ndarray) -> pa.RecordBatch:
+    def reduced(ids: np.ndarray, at: np.ndarray, anchor: np.ndarray, ctx: np.ndarray, check: np.ndarray) -> pa.RecordBatch:
         """Entries of a batch with equal contexts settled among themselves, a row for each bucket."""
-        order = np.lexsort((at, ids, ctx, anchor))
-        ids, at, anchor, ctx = ids[order], at[order], anchor[order], ctx[order]
-        first = _groups(anchor, ctx)
+        order = np.lexsort((at, ids, check, ctx, anchor))
+        ids, at, anchor, ctx, check = ids[order], at[order], anchor[order], ctx[order], check[order]
+        first = _groups(anchor, ctx, check)
         head = np.flatnonzero(first)[np.cumsum(first) - 1]
         same = (ids == ids[head]) & (at == at[head])
         size = np.diff(np.append(np.flatnonzero(first), len(first)))
@@ -185,13 +192,13 @@ def deduplicated(docs: DataFrame, op: Repeats, texts: bool = False, keep: list[s
         key = np.concatenate([np.where(hot, away, home)[on], home[told]]).astype(np.int64)
         flag = flag + (HOT * hot).astype(np.uint8)
         mark = np.full(int(told.sum()), MARK, np.uint8)
-        cols = {c: np.concatenate([v[on], v[told]]) for c, v in (("id", ids), ("at", at), ("anchor", anchor), ("ctx", ctx))} | {"flag": np.concatenate([flag[on], mark])}
+        cols = {c: np.concatenate([v[on], v[told]]) for c, v in (("id", ids), ("at", at), ("anchor", anchor), ("ctx", ctx), ("check", check))} | {"flag": np.concatenate([flag[on], mark])}
         made = list(_cut(labels[key], cols, _PACKED))
         return pa.RecordBatch.from_arrays([pa.array([k for k, _ in made], pa.int32()), *(pa.array([v[c] for _, v in made], pa.binary()) for c in cols)], names=["bucket", *cols])
 
     def entries_in(t: pa.Table) -> dict[str, np.ndarray]:
-        got = {c: _joined(t, c, _PACKED) for c in ("id", "at", "anchor", "ctx", "flag")}
-        order = np.lexsort((got["flag"], got["at"], got["id"], got["ctx"], got["anchor"]))
+        got = {c: _joined(t, c, _PACKED) for c in FIELDS}
+        order = np.lexsort((got["flag"], got["at"], got["id"], got["check"], got["ctx"], got["anchor"]))
         return {c: v[order] for c, v in got.items()}
 
     def replies_to(got: dict[str, np.ndarray], hot: bool) -> pa.Table:
@@ -228,7 +235,7 @@ def deduplicated(docs: DataFrame, op: Repeats, texts: bool = False, keep: list[s
         return out.select(["bucket", "id", "at", "ctx", "code"]).rename_columns(["slot", "id", "at", "ctx", "code"])
 
     own = [("doc_id", "bigint"), ("n", "bigint"), ("removed", "bigint"), ("spans", "bigint"), ("sha", "string"), ("text", "string"), *kept_types]
-    payload = ["id", "at", "hash", "count", "len", "own", "data"]
+    payload = ["id", "at", "hash", "check", "count", "len", "own", "data"]
     step = [("bucket", "int"), ("kind", "int"), *own, *((p, "binary") for p in payload)]
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
     DONE, OPEN, QUESTION, ANSWER = range(4)

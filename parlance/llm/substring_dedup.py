@@ -8,7 +8,7 @@ symbols but for a few at either end. With each symbol goes its reach: the words
 that decide how it was parsed. A window of 20 words whose words include the reach
 of a symbol has that symbol wherever the window occurs, so that the highest such
 symbol (by least name among equals) is the window's anchor. Shared anchors reveal the texts that
-may share windows; contexts, and where these differ window hashes, verify them.
+may share windows; contexts, and where these differ windows, verify them, by two independent 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from parlance.llm.common import Texts, mix, powers, span_hashes, window_hashes,
 
 WINDOW = 20
 ROUNDS = 2
+#: Of the second hash, which verifies the first.
+CHECK_SEED, CHECK_BASE = 9, 0xD1342543DE82EF95
 
 
 class Symbols:
@@ -74,9 +76,8 @@ def paired(s: Symbols, first: np.ndarray, salt: int) -> Symbols:
 class Prefix:
     """Hashes of any run of words."""
 
-    def __init__(self, words: np.ndarray):
+    def __init__(self, words: np.ndarray, base: int = 0x9E3779B97F4A7C15):
         n = len(words)
-        base = 0x9E3779B97F4A7C15
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers(base, n), dtype=np.uint64)])
         self.back = powers(pow(base, -1, 1 << 64), n + 1)
 
@@ -86,16 +87,15 @@ class Prefix:
 
 def find(t: Texts) -> exchange.Entries:
     starts, ends, first = word_spans(t)
-    return entries_of(span_hashes(t.data, starts, ends), first)
+    return entries_of(span_hashes(t.data, starts, ends), span_hashes(t.data, starts, ends, seed=CHECK_SEED), first)
 
 
-def entries_of(words: np.ndarray, first: np.ndarray) -> exchange.Entries:
+def entries_of(words: np.ndarray, checks: np.ndarray, first: np.ndarray) -> exchange.Entries:
     lens = np.diff(first)
     count = np.maximum(lens - WINDOW + 1, 0)
     total = int(count.sum())
-    none = np.zeros(0, np.int64)
     if not total:
-        return exchange.Entries(none, none, none, none.astype(np.uint64), none.astype(np.uint64))
+        return exchange.Entries.none()
     of = np.repeat(np.arange(len(lens)), lens)
     n = len(words)
     s = Symbols(words, np.arange(n), np.arange(n) + 1, of)
@@ -129,13 +129,14 @@ def entries_of(words: np.ndarray, first: np.ndarray) -> exchange.Entries:
     prefix = Prefix(words)
     anchor = mix(prefix(a[head], b[head]) + level[head].astype(np.uint64))
     ctx = mix(prefix(p[head], p[tail] + WINDOW) + (a[head] - p[head]).astype(np.uint64)) ^ anchor
+    check = Prefix(checks, CHECK_BASE)(p[head], p[tail] + WINDOW)
     doc = wdoc[head]
-    return exchange.Entries(doc, p[head] - first[:-1][doc], p[tail] - first[:-1][doc], anchor, ctx)
+    return exchange.Entries(doc, p[head] - first[:-1][doc], p[tail] - first[:-1][doc], anchor, ctx, check)
 
 
-def settle(id, at, anchor, ctx, flag, hot):
+def settle(id, at, anchor, ctx, check, flag, hot):
     """Entries in order of anchor, context, id and place: all but a context's first repeat; first ones of several contexts are open."""
-    g, c = exchange._groups(anchor), exchange._groups(anchor, ctx)
+    g, c = exchange._groups(anchor), exchange._groups(anchor, ctx, check)
     head = np.flatnonzero(c)[np.cumsum(c) - 1]
     is_first = (id == id[head]) & (at == at[head])
     contexts = np.add.reduceat(c.astype(np.int64), np.flatnonzero(g))[np.cumsum(g) - 1]
@@ -151,28 +152,29 @@ def ask(t: Texts, e: exchange.Entries, at: np.ndarray, ids: np.ndarray, version:
     """The windows of the open entries by hash, reduced to the first of each; the others repeat."""
     starts, ends, first = word_spans(t)
     windows = window_hashes(span_hashes(t.data, starts, ends), WINDOW)
+    checks = window_hashes(span_hashes(t.data, starts, ends, seed=CHECK_SEED), WINDOW, seed=CHECK_SEED)
     count = e.hi[at] - e.lo[at] + 1
     doc = np.repeat(e.doc[at], count)
     place = _expand(e.lo[at], count)
-    h = windows[first[:-1][doc] + place]
+    h, check = windows[first[:-1][doc] + place], checks[first[:-1][doc] + place]
     id_ = ids[doc]
-    order = np.lexsort((place, id_, h))
-    h, id_, place, doc = h[order], id_[order], place[order], doc[order]
-    new = exchange._groups(h)
+    order = np.lexsort((place, id_, check, h))
+    h, check, id_, place, doc = h[order], check[order], id_[order], place[order], doc[order]
+    new = exchange._groups(h, check)
     head = np.flatnonzero(new)[np.cumsum(new) - 1]
     later = (id_ != id_[head]) | (place != place[head])
     known = np.stack([doc[later], place[later]], axis=1)
     on = ~later
-    cols = {"id": id_[on], "at": place[on] | (version[doc[on]] << 40), "hash": h[on]}
+    cols = {"id": id_[on], "at": place[on] | (version[doc[on]] << 40), "hash": h[on], "check": check[on]}
     return (mix(h[on]) >> np.uint64(1)).astype(np.int64), cols, known, doc[on]
 
 
 def resolve(q: dict[str, np.ndarray]):
     """All but the first place of a window repeat."""
     plain = q["at"] & ((1 << 40) - 1)
-    order = np.lexsort((plain, q["id"], q["hash"]))
-    h, i, p, at = q["hash"][order], q["id"][order], plain[order], q["at"][order]
-    new = exchange._groups(h)
+    order = np.lexsort((plain, q["id"], q["check"], q["hash"]))
+    h, check, i, p, at = q["hash"][order], q["check"][order], q["id"][order], plain[order], q["at"][order]
+    new = exchange._groups(h, check)
     head = np.flatnonzero(new)[np.cumsum(new) - 1]
     later = (i != i[head]) | (p != p[head])
     return i[later], at[later], np.ones(int(later.sum()), np.int32)

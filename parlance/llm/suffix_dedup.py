@@ -31,6 +31,13 @@ MOST_CONTEXTS = 256
 ASK_WINDOWS, REPEATED_ASK_WINDOWS = 4, 5
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 _BASE = 0x9E3779B97F4A7C15
+# the second hash, which verifies the first
+_CHECK_BYTE = mix(np.arange(1001, 1257, dtype=np.uint64))
+_CHECK_BASE = 0xD1342543DE82EF95
+
+
+def _sums(data: np.ndarray, byte: np.ndarray, base: int) -> np.ndarray:
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(byte[data] * powers(base, len(data)), dtype=np.uint64)])
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -47,13 +54,13 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 def find(t: Texts) -> exchange.Entries:
     """Blocks of windows by their anchor (the leftmost 32-byte gram of least hash inside); the core that they share is the entry's key."""
-    n, none = len(t.data), np.zeros(0, np.int64)
+    n = len(t.data)
     lens = np.diff(t.offsets)
     count = np.maximum(lens - LENGTH + 1, 0)
     total = int(count.sum())
     if not total:
-        return exchange.Entries(none, none, none, none.astype(np.uint64), none.astype(np.uint64))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[t.data] * powers(_BASE, n), dtype=np.uint64)])
+        return exchange.Entries.none()
+    sums = _sums(t.data, _BYTE, _BASE)
     back = powers(pow(_BASE, -1, 1 << 64), n + 1)
     gram = mix((sums[GRAM:] - sums[:-GRAM]) * back[: n - GRAM + 1])
     bits = np.uint64(max(n - 1, 1).bit_length())
@@ -72,13 +79,15 @@ def find(t: Texts) -> exchange.Entries:
     core = at[head] - BLOCK * block[head]
     anchor = mix((sums[core + CORE] - sums[core]) * back[core] + block[head].astype(np.uint64))
     ctx = mix((sums[hi + LENGTH] - sums[lo]) * back[lo] + (hi - lo).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ mix(anchor + (at[head] - lo).astype(np.uint64))
+    sums = _sums(t.data, _CHECK_BYTE, _CHECK_BASE)
+    check = mix((sums[hi + LENGTH] - sums[lo]) * powers(pow(_CHECK_BASE, -1, 1 << 64), n + 1)[lo])
     doc = wdoc[head]
-    return exchange.Entries(doc, lo - t.offsets[:-1][doc], hi - t.offsets[:-1][doc], anchor, ctx)
+    return exchange.Entries(doc, lo - t.offsets[:-1][doc], hi - t.offsets[:-1][doc], anchor, ctx, check)
 
 
-def settle(id, at, anchor, ctx, flag, hot):
+def settle(id, at, anchor, ctx, check, flag, hot):
     """Entries in order of anchor, context, id and place: a context of two places repeats as a whole; one of each context is open if an anchor has several."""
-    g, c = exchange._groups(anchor), exchange._groups(anchor, ctx)
+    g, c = exchange._groups(anchor), exchange._groups(anchor, ctx, check)
     cs = np.flatnonzero(c)
     of = np.cumsum(c) - 1
     places = np.add.reduceat(np.where(flag == exchange.FIRST, 2, 1), cs)[of]
@@ -103,21 +112,20 @@ def ask(t: Texts, e: exchange.Entries, at: np.ndarray, ids: np.ndarray, version:
         doc = np.repeat(e.doc[w], count)
         place = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(e.lo[w], count)
         n = len(t.data)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[t.data] * powers(_BASE, n), dtype=np.uint64)])
         a = t.offsets[:-1][doc] + place
-        h = mix((sums[a + LENGTH] - sums[a]) * powers(pow(_BASE, -1, 1 << 64), n)[a])
-        order = np.lexsort((place, doc, h))
-        h, doc, place = h[order], doc[order], place[order]
-        new = exchange._groups(h)
+        h, check = (mix((x[a + LENGTH] - x[a]) * powers(pow(base, -1, 1 << 64), n)[a]) for base, x in ((_BASE, _sums(t.data, _BYTE, _BASE)), (_CHECK_BASE, _sums(t.data, _CHECK_BYTE, _CHECK_BASE))))
+        order = np.lexsort((place, doc, check, h))
+        h, check, doc, place = h[order], check[order], doc[order], place[order]
+        new = exchange._groups(h, check)
         size = np.diff(np.append(np.flatnonzero(new), len(new)))
         many = np.repeat(size, size) > 1
         known = np.stack([doc[many], place[many]], axis=1)
-        parts.append((mix(h[new]), {"id": ids[doc[new]], "at": place[new] | (version[doc[new]] << 40), "hash": h[new], "len": np.zeros(int(new.sum()), np.int32), "own": many[new].astype(np.int32)}))
+        parts.append((mix(h[new]), {"id": ids[doc[new]], "at": place[new] | (version[doc[new]] << 40), "hash": h[new], "check": check[new], "len": np.zeros(int(new.sum()), np.int32), "own": many[new].astype(np.int32)}))
     at = at[~wide]
     doc, lo, hi = e.doc[at], e.lo[at], e.hi[at]
     length = hi - lo + LENGTH
     data = [t.data[x : x + m] for x, m in zip((t.offsets[:-1][doc] + lo).tolist(), length.tolist())]
-    parts.append((mix(e.anchor[at]), {"id": ids[doc], "at": lo | (version[doc] << 40), "hash": e.anchor[at], "len": length.astype(np.int32), "own": (code[at] == exchange.REPEATED_ASK).astype(np.int32)}))
+    parts.append((mix(e.anchor[at]), {"id": ids[doc], "at": lo | (version[doc] << 40), "hash": e.anchor[at], "check": np.zeros(len(at), np.uint64), "len": length.astype(np.int32), "own": (code[at] == exchange.REPEATED_ASK).astype(np.int32)}))
     cols = {c: np.concatenate([x[c] for _, x in parts]) for c in parts[0][1]} | {"data": np.concatenate([*data, np.zeros(0, np.uint8)])}
     bucket = (np.concatenate([k for k, _ in parts]) >> np.uint64(1)).astype(np.int64)
     every = np.concatenate([w, at])
@@ -232,8 +240,8 @@ BLOCK_BYTES = 256 << 10
 def resolve(q: dict[str, np.ndarray]):
     """Starts of contexts that repeat in another context of the bucket, and windows that stand at two places."""
     single = np.flatnonzero(q["len"] == 0)
-    order = single[np.argsort(q["hash"][single], kind="stable")]
-    new = exchange._groups(q["hash"][order]) if len(order) else np.zeros(0, bool)
+    order = single[np.lexsort((q["check"][single], q["hash"][single]))]
+    new = exchange._groups(q["hash"][order], q["check"][order]) if len(order) else np.zeros(0, bool)
     places_of = np.add.reduceat(1 + q["own"][order].astype(np.int64), np.flatnonzero(new))[np.cumsum(new) - 1] if len(order) else np.zeros(0, np.int64)
     hit = order[places_of > 1]
     ids, places, counts = q["id"][hit].tolist(), q["at"][hit].tolist(), [1] * len(hit)

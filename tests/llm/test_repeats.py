@@ -131,3 +131,37 @@ def test_suffix_texts(docs, rows):
     want = {r[0]: r for r in brute.op10(rows)}
     for r in suffix_dedup.deduplicate(docs).collect():
         assert want[r.doc_id][2] or r.text == (dict(rows)[r.doc_id] or "")
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_forced_collisions(spark, monkeypatch, hot):
+    """Where the first hash of contexts or of windows has four values alone, the second tells them apart."""
+    few = lambda x: x & np.uint64(3)
+    if hot:
+        monkeypatch.setattr(exchange, "HOT_CONTEXTS", 1)
+        monkeypatch.setattr(suffix_dedup, "MOST_CONTEXTS", 1)
+    find3, find10, ask3, ask10 = substring_dedup.find, suffix_dedup.find, substring_dedup.ask, suffix_dedup.ask
+
+    def weak(find):
+        def run(t):
+            e = find(t)
+            return exchange.Entries(e.doc, e.lo, e.hi, e.anchor, few(e.ctx), e.check)
+
+        return run
+
+    def weak_windows(ask):
+        def run(*args):
+            bucket, cols, *rest = ask(*args)
+            windows = cols["len"] == 0 if "len" in cols else np.ones(len(bucket), bool)
+            cols["hash"] = np.where(windows, few(cols["hash"]), cols["hash"])
+            return np.where(windows, few(cols["hash"]).astype(np.int64), bucket), cols, *rest
+
+        return run
+
+    some = mosaics(9, 40, 120)
+    df = spark.createDataFrame(some, "doc_id long, text string").repartition(5)
+    for module, find, ask, cols, want in ((substring_dedup, find3, ask3, COLS3, brute.op3), (suffix_dedup, find10, ask10, COLS10, brute.op10)):
+        op = module.OPERATOR
+        weaker = exchange.Repeats(weak(find), op.settle, weak_windows(ask), op.resolve, op.finish, op.same_place_counts, op.repeated)
+        monkeypatch.setattr(module, "OPERATOR", weaker)
+        assert got(module.report(df), *cols) == sorted(want(some))
