@@ -148,8 +148,9 @@ def partition_labels(spark: SparkSession, n: int) -> np.ndarray:
 
 
 def deduplicated(docs: DataFrame, op: Repeats, texts: bool = False, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, n, removed, spans and sha of each row; with `texts`, doc_id, the kept text and the `keep` columns instead."""
-    spark, keep = docs.sparkSession, keep or []
+    """doc_id, n, removed, spans and sha of each row, and with `texts` the text that is left; with `keep`, doc_id, that text and these columns instead."""
+    spark, plain = docs.sparkSession, keep is None
+    texts, keep = texts or not plain, keep or []
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     labels = partition_labels(spark, n)
     number = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))), F.lit(n)).cast("int")
@@ -358,9 +359,9 @@ def deduplicated(docs: DataFrame, op: Repeats, texts: bool = False, keep: list[s
     solved = met.where(F.col("kind") != DONE).groupBy("bucket").applyInArrow(resolve, ddl(step))
     closed = solved.groupBy("bucket").applyInArrow(close, ddl(own))
     out = met.where(F.col("kind") == DONE).select(*(c for c, _ in own)).unionByName(closed)
-    if texts:
-        return out.select(F.col("doc_id"), F.col("text"), *(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)))
-    return out.select("doc_id", "n", "removed", "spans", "sha")
+    if plain:
+        return out.select("doc_id", "n", "removed", "spans", "sha", *(["text"] if texts else []))
+    return out.select("doc_id", "text", *(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)))
 
 
 def _cut_questions(key: np.ndarray, cols: dict) -> Iterator[tuple[int, dict[str, bytes]]]:

@@ -36,11 +36,12 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from m left join l0 a on m.lang is not distinct from a.lang and m.source is not distinct from a.source left join l1 b on m.lang is not distinct from b.lang left join l2 c on true"""
 
 
-SUBSTRINGS = f"""with d as (select row_number() over () as rid, doc_id, {SPACE_WORDS} as ws from documents),
+SUBSTRINGS = f"""with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as raw, {SPACE_WORDS} as ws from documents),
 w as (select rid, doc_id, i, array_to_string(ws[i:i + 19], ' ') as x from (select rid, doc_id, ws, unnest(range(1, len(ws) - 18)) as i from d where len(ws) >= 20)),
 f as (select x, min((doc_id, i)) as first from w group by x),
 g as (select rid, list(distinct p) as gone from (select rid, unnest(range(i, i + 20)) as p from w join f using (x) where (doc_id, i) > first) group by rid)
-select doc_id, len(ws) as n_words, coalesce(len(gone), 0) as n_removed, coalesce(k.n_spans, 0) as n_spans, sha256(array_to_string(case when gone is null then ws else list_filter(ws, lambda v, j: not list_contains(gone, j)) end, ' ')) as kept_sha256
+select doc_id, len(ws) as n_words, coalesce(len(gone), 0) as n_removed, coalesce(k.n_spans, 0) as n_spans, sha256(array_to_string(case when gone is null then ws else list_filter(ws, lambda v, j: not list_contains(gone, j)) end, ' ')) as kept_sha256,
+case when gone is null then raw else regexp_extract(raw, '^[\x20\x09-\x0D]*') || array_to_string(list_filter(regexp_extract_all(raw, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*'), lambda v, j: not list_contains(gone, j)), '') end as text
 from d left join g using (rid) left join (select rid, count(*) filter (p <> before + 1 or before is null) as n_spans from (select rid, p, lag(p) over (partition by rid order by p) as before from (select rid, unnest(gone) as p from g)) group by rid) as k using (rid)"""
 
 DECONTAMINATION = f"""with it as (select item_id, {ALNUM_WORDS} as ws from benchmark where item_id is not null),

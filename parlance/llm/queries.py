@@ -20,7 +20,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.report(table(spark, sf_dir, "documents"))
+    return substring_dedup.report(table(spark, sf_dir, "documents"), texts=True)
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+    return suffix_dedup.report(table(spark, sf_dir, "documents"), texts=True)
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_substring_dedup, op4_quality_classifier, op5_token_counts, op6_decontamination, op7_language_id, op8_license_scan, op9_ngram_join, op10_suffix_dedup)}

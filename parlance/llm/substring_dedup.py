@@ -205,19 +205,19 @@ def finish(raw: bytes, ranges: list | None, texts: bool) -> tuple:
 OPERATOR = exchange.Repeats(find, settle, ask, resolve, finish, same_place_counts=False)
 
 
-def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, n_spans and kept_sha256 of each row.
+def report(docs: DataFrame, texts: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, n_spans and kept_sha256 of each row; with `texts`, the text that is left too.
 
     A window repeats if its words also start at a smaller doc_id, or earlier in the
     same text; windows are judged on the input. Null and empty texts have no words.
     A null doc_id counts as smallest. Rows that share a doc_id count as one document:
     the same window at the same place of both repeats in neither. Ties beyond that don't exist.
     """
-    out = exchange.deduplicated(docs, OPERATOR)
-    return out.select("doc_id", F.col("n").alias("n_words"), F.col("removed").alias("n_removed"), F.col("spans").alias("n_spans"), F.col("sha").alias("kept_sha256"))
+    out = exchange.deduplicated(docs, OPERATOR, texts)
+    return out.select("doc_id", F.col("n").alias("n_words"), F.col("removed").alias("n_removed"), F.col("spans").alias("n_spans"), F.col("sha").alias("kept_sha256"), *(["text"] if texts else []))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs with repeated words cut out of text; other columns, and texts without repeats, stay as they are (null becomes empty)."""
     keep = [c for c in docs.columns if c not in ("doc_id", "text")]
-    return exchange.deduplicated(docs, OPERATOR, texts=True, keep=keep).select(*docs.columns)
+    return exchange.deduplicated(docs, OPERATOR, keep=keep).select(*docs.columns)

@@ -289,18 +289,18 @@ def finish(raw: bytes, ranges: list | None, texts: bool) -> tuple:
 OPERATOR = exchange.Repeats(find, settle, ask, resolve, finish, same_place_counts=True, repeated=(exchange.REPEATED, exchange.REPEATED_ASK, REPEATED_ASK_WINDOWS))
 
 
-def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row.
+def report(docs: DataFrame, texts: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row; with `texts`, the text that is left too.
 
     A byte goes if a string of 400 bytes that covers it starts at any other place of
     any row, rows that share a doc_id included. Strings are judged on the input. Null
     and empty texts have no bytes. A cut may leave bytes that are no valid UTF-8.
     """
-    out = exchange.deduplicated(docs, OPERATOR)
-    return out.select("doc_id", F.col("n").alias("n_bytes"), F.col("removed").alias("n_removed"), F.col("spans").alias("n_spans"), F.col("sha").alias("kept_sha256"))
+    out = exchange.deduplicated(docs, OPERATOR, texts)
+    return out.select("doc_id", F.col("n").alias("n_bytes"), F.col("removed").alias("n_removed"), F.col("spans").alias("n_spans"), F.col("sha").alias("kept_sha256"), *(["text"] if texts else []))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs with repeated strings cut out of text (bytes that are no valid UTF-8 then are replaced); other columns stay."""
     keep = [c for c in docs.columns if c not in ("doc_id", "text")]
-    return exchange.deduplicated(docs, OPERATOR, texts=True, keep=keep).select(*docs.columns)
+    return exchange.deduplicated(docs, OPERATOR, keep=keep).select(*docs.columns)
