@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import Texts, mix, pieces, texts_of
+from parlance.llm.common import Texts, mix, pieces, texts_of, written
 
 ORDER = 4
 BLANK = 0x20
@@ -26,6 +26,8 @@ BLANK = 0x20
 DOCS_PER_LANGUAGE = 3000
 #: Languages whose counts are broadcast at most.
 BROADCAST_LANGUAGES = 10_000
+#: Numbers of the model at most, four bytes each, which is broadcast; rarer grams go until it fits.
+MODEL_CELLS = 64_000_000
 UNDETERMINED = "und"
 
 
@@ -185,6 +187,16 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
     return Model(languages, keys, logp, contexts, backoff, unseen)
 
 
+def _least_count(found: DataFrame) -> int:
+    """How often a gram must occur so that the model, a number for each gram and language, stays within MODEL_CELLS: once, if it fits."""
+    sizes = {r["n"]: r["count"] for r in found.groupBy(F.least("n", F.lit(64)).alias("n")).count().collect()}  # 64 rows at most
+    langs = found.select("lang").distinct().count()
+    for least in range(1, 65):
+        if sum(v for n, v in sizes.items() if n >= least) * langs <= MODEL_CELLS:
+            return least
+    raise ValueError(f"a model of {langs} languages doesn't fit: learn fewer languages, or fewer documents of each")
+
+
 def _counts(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Gram counts by language: summed in each task, then over the tasks. rows: (lang, text), a bounded sample."""
 
@@ -200,7 +212,9 @@ def _counts(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
                 u, c = np.unique(g[which[of] == j], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(u), pa.string()), pa.array(u.view(np.int64)), pa.array(c)], names=["lang", "gram", "n"])
 
-    found = rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    found = written(rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-grams")
+    least = _least_count(found)
+    found = found.where(F.col("n") >= least).toPandas()  # MODEL_CELLS rows at most
     out = {}
     for lang, part in found.groupby("lang"):
         g = part["gram"].to_numpy().astype(np.int64).view(np.uint64)

@@ -163,3 +163,16 @@ def test_dual_coordinate_descent_separates():
     m = quality_classifier.fit(sets, y)
     margin = lambda s: m.weights[s].sum() / np.sqrt(m.squares[s].sum()) + m.bias
     assert min(margin(s) for s, v in zip(sets, y) if v) > 0 > max(margin(s) for s, v in zip(sets, y) if not v)
+
+
+def test_language_model_is_bounded(spark, monkeypatch):
+    """Past the bound rare grams go, in the same way for all languages; where nothing fits, training says so."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    size = lambda m: sum(x.size for x in m.logp)
+    whole = language_id.train(docs)
+    monkeypatch.setattr(language_id, "MODEL_CELLS", size(whole) // 4)
+    less = language_id.train(docs)
+    assert 0 < size(less) < size(whole) and less.languages == whole.languages
+    monkeypatch.setattr(language_id, "MODEL_CELLS", 1)
+    with pytest.raises(ValueError):
+        language_id.train(docs)
