@@ -1,9 +1,10 @@
 """Benchmark decontamination inside the JVM.
 
 Test items become windows of 13 words (an item of fewer words is one window). Their
-hashes are broadcast, once their number is checked; beyond the bound the same join
-shuffles. Every window start of every text probes them by hash, and a hit is verified word by
-word in the join's condition. Only hits, and one marker a text, reach the shuffle by text.
+hashes are broadcast, once their number is checked. Every window start of every text probes them
+by hash, and a hit is verified word by word in the join's condition. Only hits, and one marker
+a text, reach the shuffle by text. Beyond the bound the join shuffles, but only the places that
+pass a filter of the windows' hashes move, each with the words of its own window alone.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from parlance.llm.native import alnum_words, covered
 WINDOW = 13
 #: Windows that are broadcast at most, some 200 bytes each.
 BROADCAST_WINDOWS = 500_000
+#: With more, bits of a filter of window hashes that positions pass before they move; a row of its broadcast table holds 64.
+FILTER_BITS = 1 << 25
 
 
 def _hash(h: Column, at: Column, n: int) -> Column:
@@ -37,6 +40,16 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     return rows.groupBy("len", "hash", "window").agg(F.collect_set("item_id").alias("items"))
 
 
+def _passing(probe: DataFrame, windows: DataFrame) -> DataFrame:
+    """The markers, and the places whose hash may be a window's, with the window's words instead of the text's."""
+    place = F.pmod(F.xxhash64("len", "hash"), F.lit(FILTER_BITS))
+    word, bit = F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    bits = windows.select(word.alias("__word"), bit.alias("b")).groupBy("__word").agg(F.bit_or("b").alias("__bits"))  # FILTER_BITS / 64 rows at most
+    near = probe.withColumn("__word", word).join(F.broadcast(bits), "__word", "left")
+    near = near.where((F.col("at") < 0) | (F.col("__bits").bitwiseAND(bit) != 0))
+    return near.select("doc_id", "key", "n", "at", "len", "hash", F.when(F.col("at") >= 0, F.expr("slice(words, at + 1, len)")).alias("window"))
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """doc_id, copies, n_words, spans (at, len) and items of each distinct (doc_id, text)."""
     windows = item_windows(benchmark).alias("b")
@@ -53,8 +66,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCA
         each = F.inline(F.array(*(F.struct(F.lit(k).alias("len"), code(k).alias("hash")) for k in lens)))
         probe = d.select("doc_id", "key", "words", "n", "at", each)
         probe = probe.where((F.col("at") < 0) & (F.col("len") == lens[0]) | (F.col("hash").isNotNull()))
-    same = "p.len = b.len and p.hash = b.hash and slice(p.words, greatest(p.at + 1, 1), p.len) = b.window"
-    found = probe.alias("p").join(F.broadcast(windows) if small else windows, F.expr(same), "left").where("p.at < 0 or b.hash is not null")
+    if small:
+        same = "p.len = b.len and p.hash = b.hash and slice(p.words, greatest(p.at + 1, 1), p.len) = b.window"
+        found = probe.alias("p").join(F.broadcast(windows), F.expr(same), "left")
+    else:
+        same = "p.len = b.len and p.hash = b.hash and p.window = b.window"
+        found = _passing(probe, windows).alias("p").join(windows, F.expr(same), "left")
+    found = found.where("p.at < 0 or b.hash is not null")
     place = F.when(F.col("p.at") >= 0, F.struct(F.col("p.at").alias("at"), F.col("p.len").alias("len")))
     return found.groupBy("p.doc_id", "p.key", "p.n").agg(
         F.count_if(F.col("p.at") < 0).alias("copies"),
