@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parlance.llm.common import written
 from parlance.llm.native import alnum_words, covered
 
 WINDOW = 13
@@ -105,8 +106,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, spans: bool = False) ->
     found = hits(docs, benchmark)
     if not spans:
         bad = found.select("doc_id", "key", F.col("n").cast("long").alias("n_words"), covered(F.col("spans")).alias("n_hit")).where(_contaminated())
+        bad = written(bad.select("doc_id", "key"), "contaminated")  # its size is known then, and texts stay in place if it is small
         return docs.alias("d").join(bad.alias("b"), F.expr("d.doc_id <=> b.doc_id and xxhash64(d.text) = b.key"), "left_anti")
-    some = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("spans").alias("__spans"))
+    some = written(found.where(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("spans").alias("__spans")), "contaminated")
     rows = docs.alias("d").join(some, F.expr("d.doc_id <=> __id and xxhash64(d.text) = __key"), "left")
     # pieces alternate between words and what parts them, so that a piece's word number is half its place
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
