@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parlance.functions.text import let
+from parlance.session import written
 
 
 def running_total(df: DataFrame, value: Column, order: list[str], name: str) -> DataFrame:
@@ -16,8 +17,8 @@ def running_total(df: DataFrame, value: Column, order: list[str], name: str) ->
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # persisted, so that both readers see one dealing out: another one would draw other range bounds
-    dealt = df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()).withColumn("__value", value).persist()
+    # written, so that both readers see one dealing out, also when executors are lost: another one would draw other range bounds
+    dealt = written(df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()).withColumn("__value", value), "running-total")
     totals = dealt.groupBy("__part").agg(F.sum("__value").alias("__sum"))  # one row a partition
     before = totals.alias("a").join(F.broadcast(totals.alias("b")), F.col("b.__part") < F.col("a.__part"), "left").groupBy(F.col("a.__part").alias("__part")).agg(F.coalesce(F.sum("b.__sum"), F.lit(0)).alias("__before"))
     within = F.sum("__value").over(W.partitionBy("__part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))

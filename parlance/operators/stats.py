@@ -72,28 +72,25 @@ def kruskal(df: DataFrame, group: str, value: str, least: int = 2) -> DataFrame:
     return out.select(F.round("h", 4).alias("kruskal_h"), "df", F.round(chi2_pvalue(F.col("h"), F.col("df")), 4).alias("p"))
 
 
-def _profile(pdf: pd.DataFrame, features: list[str], target: str, group: str, least: int) -> pd.DataFrame:
-    """Random-intercept model by profile likelihood (REML) over the ratio of the two variances; no constant column."""
+def _profile(sums: pd.DataFrame, features: list[str], least: int) -> pd.DataFrame:
+    """Random-intercept model by profile likelihood (REML) over the ratio of the two variances, from the sums of each group; no constant column."""
     cols = ["n", "log_likelihood", "aic", "random_effects_var", "residual_var", *features]
-    pdf = pdf.dropna()
-    if len(pdf) < least:
-        return pd.DataFrame([[len(pdf)] + [None] * (len(cols) - 1)], columns=cols)
-    x, y = pdf[features].to_numpy(float), pdf[target].to_numpy(float)
-    sd = x.std(axis=0)
-    x = (x - x.mean(axis=0)) / np.where(sd > 0, sd, 1)
-    _, g = np.unique(pdf[group].to_numpy().astype(str), return_inverse=True)
-    size = np.bincount(g)
-    n, p = x.shape
+    size, p = sums["size"].to_numpy(float), len(features)
+    n = int(size.sum())
+    if n < least:
+        return pd.DataFrame([[n] + [None] * (len(cols) - 1)], columns=cols)
+    sx, sy = sums[[f"x{i}" for i in range(p)]].to_numpy(float), sums["y"].to_numpy(float)
+    total = sums.sum(numeric_only=True)
+    xx = np.array([[total[f"x{min(i, j)}x{max(i, j)}"] for j in range(p)] for i in range(p)])
+    xy, yy = np.array([total[f"x{i}y"] for i in range(p)]), total["yy"]
 
     def fit(ratio: float) -> tuple:
         # the inverse of I + ratio * Z Z' takes ratio / (1 + ratio * size) of each group's sums off
         w = ratio / (1 + ratio * size)
-        sx = np.stack([np.bincount(g, x[:, j], len(size)) for j in range(p)], 1)
-        sy = np.bincount(g, y, len(size))
-        a = x.T @ x - sx.T @ (sx * w[:, None])
-        b = x.T @ y - sx.T @ (sy * w)
+        a = xx - sx.T @ (sx * w[:, None])
+        b = xy - sx.T @ (sy * w)
         beta = np.linalg.lstsq(a, b, rcond=None)[0]
-        q = y @ y - (sy * sy * w).sum() - beta @ b
+        q = yy - (sy * sy * w).sum() - beta @ b
         var = max(q / (n - p), 1e-300)
         det = np.log1p(ratio * size).sum()
         ll = -0.5 * ((n - p) * np.log(2 * np.pi * var) + (n - p) + det + np.linalg.slogdet(a)[1])
@@ -114,10 +111,16 @@ def _profile(pdf: pd.DataFrame, features: list[str], target: str, group: str, le
 
 
 def mixed_model(df: DataFrame, features: list[str], target: str, group: str, least: int = 10) -> DataFrame:
-    """Standardised features with a random intercept by group, over a table with one row for each speaker.
+    """Standardised features with a random intercept by group.
 
-    Its rows are results of aggregation (a row a speaker), so that one task takes them. Fewer than `least` full rows give nulls.
+    Rows become sums by partial aggregation, which are all that the likelihood needs: one task
+    gets a row a group. Rows with nulls teach nothing; fewer than `least` full rows give nulls.
     """
     schema = "n long, log_likelihood double, aic double, random_effects_var double, residual_var double, " + ", ".join(f"`{f}` double" for f in features)
-    rows = df.select(*(F.col(f).cast("double").alias(f) for f in features), F.col(target).cast("double").alias(target), F.col(group).cast("string").alias(group))
-    return rows.withColumn("__all", F.lit(1)).groupBy("__all").applyInPandas(lambda pdf: _profile(pdf[[*features, target, group]], features, target, group, least), schema)
+    x = [f"x{i}" for i in range(len(features))]
+    rows = df.select(*(F.col(f).cast("double").alias(k) for k, f in zip(x, features)), F.col(target).cast("double").alias("y"), F.col(group).cast("string").alias("g")).dropna()
+    scale = rows.agg(*(F.avg(k).alias(f"{k}_mean") for k in x), *(F.nullif(F.stddev_pop(k), F.lit(0.0)).alias(f"{k}_sd") for k in x))  # one row
+    z = rows.join(F.broadcast(scale)).select("g", "y", *(((F.col(k) - F.col(f"{k}_mean")) / F.coalesce(f"{k}_sd", F.lit(1.0))).alias(k) for k in x))
+    products = {f"{a}{b}": F.col(a) * F.col(b) for i, a in enumerate(x) for b in x[i:]} | {f"{a}y": F.col(a) * F.col("y") for a in x} | {"yy": F.col("y") * F.col("y")}
+    sums = z.groupBy("g").agg(F.count(F.lit(1)).alias("size"), *(F.sum(k).alias(k) for k in [*x, "y"]), *(F.sum(v).alias(k) for k, v in products.items()))
+    return sums.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(lambda pdf: _profile(pdf, features, least), schema)
