@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,12 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.session import spread
+from parlance.session import shared_dir, spread, written  # noqa: F401  for the operators
 
 #: Bytes of text that the NumPy code handles at once; bounds the memory of a worker.
 CHUNK_BYTES = 2 << 20
-#: The folder of this process, for local mode alone.
-_LOCAL: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,33 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(scan) if name == "documents" else scan
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share.
-
-    Only where that is unset (a local test) is a folder of this machine used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _LOCAL.get("dir")
-        if not base:
-            base = _LOCAL["dir"] = tempfile.mkdtemp(prefix="parlance-")
-            atexit.register(shutil.rmtree, base, ignore_errors=True)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table: lineage ends here, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_to = path
-    return out
-
-
 def discard(*tables: DataFrame) -> None:
     """Deletes written tables of which nothing that is still to run reads; what was made from them must be written itself."""
     for t in tables:
