@@ -229,3 +229,21 @@ def combined(title: Column, description: Column, transcript: Column) -> dict[str
 
 def grade_hint(tsp: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(4), F.bround(tsp, 0).cast("int") - 1))
+
+
+def filter_decision(own: dict[str, Column], cached: dict[str, Column], status: Column, identity_status: Column) -> Column:
+    """verdict (passed, filtered or skipped), reason, and description and language as they are then known, of a video.
+
+    own and cached: description and language of the entry and of the fetched metadata, where both of the latter are null if nothing was
+    fetched. An entry that lacks either goes by the fetched ones: without any it passes, whatever its identity,
+    and one known to be gone is skipped. Else the first description rule or the language counts, then the identity.
+    """
+    full = lambda c: F.coalesce(c, F.lit("")) != ""
+    bare = ~full(own["description"]) | ~full(own["language"])
+    unfetched = cached["description"].isNull() & cached["language"].isNull()
+    used = {k: F.when(bare, cached[k]).otherwise(own[k]) for k in own}
+    rule = exclusion(used["description"], used["language"])
+    reason = F.when(rule != "", rule).when(identity_status == "high_risk", "low_identity_score").otherwise("")
+    verdict = first_match((bare & unfetched, F.lit("passed")), (bare & F.coalesce(status == "unavailable", F.lit(False)), F.lit("skipped")), (reason != "", F.lit("filtered")), otherwise=F.lit("passed"))
+    known = {k: F.when(full(own[k]), own[k]).otherwise(F.coalesce(F.left(cached[k], F.lit(1000)), F.lit(""))) for k in own}
+    return F.struct(verdict.alias("verdict"), F.when(verdict == "filtered", reason).otherwise("").alias("reason"), known["description"].alias("description"), known["language"].alias("language"))

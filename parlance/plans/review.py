@@ -138,6 +138,34 @@ def ordered_union(spark, sf_dir):
     return relational.keep_first(every, ["name"], ["part", "pos"]).select("name", "part", "pos").orderBy("part", "pos")
 
 
+_RULE = "case " + " ".join(f"when regexp_matches(trim(coalesce(ud, '')), {_quoted(p)}) then '{n}'" for n, p in evidence.DESCRIPTION_RULES.items()) + " when lower(coalesce(ul, '')) in (" + ", ".join(map(_quoted, evidence.OTHER_LANGUAGES)) + ") then 'lang:' || lower(ul) else '' end"
+
+
+@query(f"""with v as (select page_id, identity_status, case when page_id % 3 = 0 then html else '' end as od, case when page_id % 3 = 0 then 'EN' else '' end as ol, case when page_id % 7 = 1 then 'unavailable' end as status from ({ORACLES["identity_score"]}) join pages using (page_id)),
+c as (select v.*, d.text as cd, d.lang as cl, (od = '' or ol = '') as bare from v left join documents d on d.doc_id = 2 * page_id),
+u as (select *, case when bare then cd else od end as ud, case when bare then cl else ol end as ul from c),
+r as (select *, {_RULE} as rule from u),
+w as (select *, case when bare and cd is null and cl is null then 'passed' when bare and coalesce(status = 'unavailable', false) then 'skipped' when rule <> '' or identity_status = 'high_risk' then 'filtered' else 'passed' end as verdict from r)
+select page_id, verdict, case when verdict <> 'filtered' then '' when rule <> '' then rule else 'low_identity_score' end as reason, case when ol <> '' then ol else coalesce(cl, '') end as language, length(case when od <> '' then od else coalesce(left(cd, 1000), '') end) as n_description from w""")
+def filter_decision(spark, sf_dir):
+    """What becomes of each video: its own metadata or the fetched ones, the rules, then the identity."""
+    videos = quality.identity_score(spark, sf_dir).select("page_id", "identity_status").join(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
+    own = {"description": F.expr("case when page_id % 3 = 0 then html else '' end"), "language": F.expr("case when page_id % 3 = 0 then 'EN' else '' end")}
+    cached = table(spark, sf_dir, "documents").select((F.col("doc_id") / 2).alias("half"), F.col("text").alias("cd"), F.col("lang").alias("cl"))
+    rows = videos.join(cached, F.col("page_id").cast("double") == F.col("half"), "left").withColumns({"od": own["description"], "ol": own["language"]})
+    made = evidence.filter_decision({"description": F.col("od"), "language": F.col("ol")}, {"description": F.col("cd"), "language": F.col("cl")}, F.expr("case when page_id % 7 = 1 then 'unavailable' end"), F.col("identity_status"))
+    d = rows.select("page_id", made.alias("d"))
+    return d.select("page_id", "d.verdict", "d.reason", "d.language", F.char_length("d.description").cast("long").alias("n_description"))
+
+
+@query("""with e as (select o_orderkey, case o_orderpriority when '1-URGENT' then 'ERROR: Video unavailable' when '2-HIGH' then 'age-restricted' when '3-MEDIUM' then 'Playback restricted' when '4-NOT SPECIFIED' then 'timed out' else 'age.restricted' end as m from orders)
+select o_orderkey, case when regexp_matches(lower(m), 'video unavailable|private video|age.restrict|removed|not available|playback restricted|community guidelines') then 'unavailable' else 'failed' end as captions, case when regexp_matches(lower(m), 'video unavailable|private video|age\\.restrict|removed|not available') then 'unavailable' else 'failed' end as metadata from e""")
+def fetch_errors(spark, sf_dir):
+    """What becomes of an item whose fetch failed: the metadata stage knows fewer messages."""
+    said = F.expr("case o_orderpriority when '1-URGENT' then 'ERROR: Video unavailable' when '2-HIGH' then 'age-restricted' when '3-MEDIUM' then 'Playback restricted' when '4-NOT SPECIFIED' then 'timed out' else 'age.restricted' end")
+    return table(spark, sf_dir, "orders").select("o_orderkey", *(files.fetch_status(said, k).alias(k) for k in ("captions", "metadata")))
+
+
 _DIM = "(values " + ", ".join(f"({_quoted(a)}, {_quoted(b)}, {_quoted(c)})" for a, b, c in dimensions.SPEAKERS) + ") as m(speaker, display, domain)"
 _SLUGS = "[" + ", ".join(_quoted(a) for a, _, _ in dimensions.SPEAKERS) + "]"
 

@@ -246,10 +246,14 @@ def crawl_rows(raw: DataFrame, min_seconds: float | None = None, max_seconds: fl
     return out.orderBy(F.desc("upload_date"), "query_idx", "pos").drop("query_idx", "pos")
 
 
-#: Fixed value: what a fetch error says of videos that are gone.
-UNAVAILABLE = r"video unavailable|private video|age.restrict|removed|not available|playback restricted|community guidelines"
+# What a fetch error says of videos that are gone, by what was fetched.
+UNAVAILABLE = {
+    "captions": r"video unavailable|private video|age.restrict|removed|not available|playback restricted|community guidelines",
+    "metadata": r"video unavailable|private video|age\.restrict|removed|not available",
+    "audio": r"video unavailable|private video|age.restrict|removed|not available|playback restricted|community guidelines",
+}
 
 
-def fetch_status(error):
+def fetch_status(error, stage: str = "captions"):
     """unavailable or failed, from what a fetch printed."""
-    return F.when(F.regexp_like(F.lower(error), F.lit(UNAVAILABLE)), "unavailable").otherwise("failed")
+    return F.when(F.regexp_like(F.lower(error), F.lit(UNAVAILABLE[stage])), "unavailable").otherwise("failed")
