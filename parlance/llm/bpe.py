@@ -15,6 +15,7 @@ import base64
 import hashlib
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -175,6 +176,10 @@ class ByteBPE:
         for token, i in ranks.items():
             self.token[i] = token
         self.cache: dict[bytes, tuple[int, ...]] = {}
+        # all tokens' bytes as one array, for decoding many at once
+        self.size = np.array([len(x) for x in self.token], np.int64)
+        self.place = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(self.token), np.uint8)
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Merge the adjacent pair of lowest rank, leftmost first, until none has a rank."""
@@ -239,20 +244,37 @@ class ByteBPE:
             out.append(ids)
         return out, bounds, first
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids))
+    def starts(self, ids: np.ndarray, groups: list[tuple[int, ...]], bounds: np.ndarray) -> np.ndarray:
+        """Byte offset of each token in the batch: its slice's, and its place in the slice."""
+        per_slice = np.fromiter(map(len, groups), np.int64, len(groups))
+        upto = np.concatenate([[0], np.cumsum(self.size[ids])])
+        head = np.cumsum(per_slice) - per_slice  # the first token of each slice
+        return upto[:-1] + np.repeat(bounds[:-1] - upto[head], per_slice)
 
-    def offsets(self, ids: list[int]) -> list[int]:
-        """Byte offset of each token in its text."""
-        at, out = 0, []
-        for i in ids:
-            out.append(at)
-            at += len(self.token[i])
-        return out
+    def decode(self, ids: np.ndarray, starts: np.ndarray | None = None) -> bytes:
+        """The bytes that the ids stand for, each token put at its retained offset; without offsets, one behind the other."""
+        ids = np.asarray(ids, np.int64)
+        if not len(ids):
+            return b""
+        size = self.size[ids]
+        one_behind = np.cumsum(size) - size
+        starts = one_behind if starts is None else np.asarray(starts, np.int64)
+        out = np.zeros(int((starts + size).max()), np.uint8)
+        step = np.arange(int(size.sum())) - np.repeat(one_behind, size)
+        out[np.repeat(starts, size) + step] = self.bytes[np.repeat(self.place[ids], size) + step]
+        return out.tobytes()
 
 
-def _flat(groups: list[tuple[int, ...]]) -> list[int]:
-    return [i for g in groups for i in g]
+def _tokens(bpe: ByteBPE, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all texts of a batch, the byte offset of each in the batch, and the first token of each text (n + 1 entries)."""
+    groups, bounds, first = bpe.encode(t)
+    ids = np.fromiter(chain.from_iterable(groups), np.int64)
+    per_slice = np.fromiter(map(len, groups), np.int64, len(groups))
+    return ids, bpe.starts(ids, groups, bounds), np.concatenate([[0], np.cumsum(per_slice)])[first]
+
+
+def _lists(values: np.ndarray, cut: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
 ENCODED = "ids array<int>, starts array<int>"
@@ -276,54 +298,53 @@ def encode(docs: DataFrame, ranks_path: str, text: str = "text", keep: list[str]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBPE(load_ranks(raw.value))
         for b in pieces(batches, "__text"):
-            groups, _, first = bpe.encode(texts_of(b.column(len(keep))))
-            ids = [_flat(groups[x:y]) for x, y in zip(first.tolist(), first[1:].tolist())]
-            cols = [b.column(i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.offsets(x) for x in ids], pa.list_(pa.int32()))], names=[*keep, "ids", "starts"])
+            t = texts_of(b.column(len(keep)))
+            ids, starts, first = _tokens(bpe, t)
+            own = starts - np.repeat(t.offsets[:-1], np.diff(first))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), _lists(ids, first), _lists(own, first)], names=[*keep, "ids", "starts"])
 
     types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return src.mapInArrow(run, f"{types}, {ENCODED}")
 
 
 def decode(encoded: DataFrame, ranks_path: str, keep: list[str] | None = None) -> DataFrame:
-    """`keep` columns and the bytes that the ids stand for. Null ids give empty bytes."""
+    """`keep` columns and the bytes that the ids stand for, by the offsets in `starts` if there are any. Null ids give empty bytes."""
     raw = _vocabulary(encoded, ranks_path)
-    keep = keep or ["doc_id"]
+    keep, placed = keep or ["doc_id"], "starts" in encoded.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBPE(load_ranks(raw.value))
         for b in batches:
-            made = [bpe.decode(x or []) for x in b.column(len(keep)).to_pylist()]
+            ids = b.column(len(keep)).to_pylist()
+            at = b.column(len(keep) + 1).to_pylist() if placed else [None] * len(ids)
+            made = [bpe.decode(x or [], y if x else None) for x, y in zip(ids, at)]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(made, pa.binary())], names=[*keep, "decoded"])
 
     types = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in keep)
-    return encoded.select(*keep, "ids").mapInArrow(run, f"{types}, decoded binary")
+    return encoded.select(*keep, "ids", *(["starts"] if placed else [])).mapInArrow(run, f"{types}, decoded binary")
 
 
 def digests(docs: DataFrame, ranks_path: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each text, encoded and decoded in one pass; on demand the ids too.
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each text, encoded and decoded in one pass; on demand ids and starts too.
 
+    A batch's tokens are decoded together, each put at the offset that encoding retained.
     Null and empty texts have no tokens; repeated rows give repeated rows; a null doc_id stays null.
     """
     raw = _vocabulary(docs, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBPE(load_ranks(raw.value))
+        digit = list(map(str, range(len(bpe.token))))
         for b in pieces(batches):
-            groups, _, first = bpe.encode(texts_of(b.column(1)))
-            n, ids_sha, text_sha, all_ids = [], [], [], []
-            for x, y in zip(first.tolist(), first[1:].tolist()):
-                ids = _flat(groups[x:y])
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
-                text_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-                if with_ids:
-                    all_ids.append(pa.array(ids, pa.int32()))
-            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+            t = texts_of(b.column(1))
+            ids, starts, first = _tokens(bpe, t)
+            decoded, said, cut, ends = bpe.decode(ids, starts), ids.tolist(), first.tolist(), t.offsets.tolist()
+            ids_sha = [hashlib.sha256(" ".join([digit[i] for i in said[x:y]]).encode()).hexdigest() for x, y in zip(cut, cut[1:])]
+            text_sha = [hashlib.sha256(decoded[x:y]).hexdigest() for x, y in zip(ends, ends[1:])]
+            cols = [b.column(0), pa.array(np.diff(first)), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             if with_ids:
-                cut = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                cols.append(pa.ListArray.from_arrays(pa.array(cut), pa.concat_arrays(all_ids)))
+                cols += [_lists(ids, first), _lists(starts - np.repeat(t.offsets[:-1], np.diff(first)), first)]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 5 if with_ids else 4]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "starts"][: 6 if with_ids else 4]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + f", {ENCODED}" * with_ids)
