@@ -61,6 +61,18 @@ TEMPLATES = [
     Template("cc-by-sa", "creative commons attribution sharealike", "creative commons attribution sharealike"),
     Template("cc-by", "creative commons attribution 4 0 international license", "creative commons attribution 4 0"),
     Template("proprietary", "all rights reserved no part of this publication may be reproduced", "no part of this publication may be reproduced"),
+    Template("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", "warranties of merchantability fitness for a particular purpose and noninfringement"),
+    Template("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "distributed under the license is distributed on an as is basis"),
+    Template("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "may be used to endorse or promote products derived from this software"),
+    Template("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version", "under the terms of the gnu general public license as published by"),
+    Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable"),
+    Template("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", "eclipse public license"),
+    Template("bsl-1", "boost software license version 1 0", "boost software license"),
+    Template("ofl", "this font software is licensed under the sil open font license version 1 1", "sil open font license"),
+    Template("odbl", "made available under the open database license", "open database license"),
+    Template("cc-by-nd", "creative commons attribution noderivatives"),
+    Template("cc-by-nc", "creative commons attribution noncommercial"),
+    Template("public-domain", "has waived all copyright and related or neighboring rights to this work", "waived all copyright and related or neighboring rights"),
 ]
 
 
