@@ -99,7 +99,7 @@ SETTLED = [*FIELDS, "code"]
 REPLY = "slot int, id binary, at binary, ctx binary, code binary"
 _TYPES = {"id": np.int64, "at": np.int64, "anchor": np.uint64, "ctx": np.uint64, "check": np.uint64, "flag": np.uint8, "code": np.uint8, "count": np.int32, "hash": np.uint64, "len": np.int32, "own": np.int32, "data": np.uint8}
 #: Narrower forms while they travel.
-_PACKED = {"at": np.int32, "anchor": np.uint32}
+_PACKED = {"at": np.int32, "anchor": np.uint32, "check": np.uint32}
 
 
 def _cut(order_key: np.ndarray, cols: dict[str, np.ndarray], packed: dict) -> Iterator[tuple[int, dict[str, bytes]]]:
@@ -239,7 +239,7 @@ def deduplicated(docs: DataFrame, op: Repeats, texts: bool = False, keep: list[s
     payload = ["id", "at", "hash", "check", "count", "len", "own", "data"]
     step = [("bucket", "int"), ("kind", "int"), *own, *((p, "binary") for p in payload)]
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
-    DONE, OPEN, QUESTION, ANSWER = range(4)
+    DONE, OPEN, QUESTION = range(3)
 
     def rows_of(columns: dict, size: int, like: pa.Schema | None) -> pa.Table:
         """A table of the step's schema; what isn't given is null."""
@@ -314,51 +314,43 @@ def deduplicated(docs: DataFrame, op: Repeats, texts: bool = False, keep: list[s
         return pa.concat_tables(x.cast(out[-1].schema) for x in out)
 
     def resolve(t: pa.Table) -> pa.Table:
-        kind = t["kind"].to_numpy()
-        asked = t.filter(pa.array(kind == QUESTION))
-        passed = t.filter(pa.array(kind != QUESTION)).drop_columns([])
-        if not asked.num_rows:
-            return passed
-        ids, at, count = op.resolve({c: _joined(asked, c, {}) for c in payload})
+        """Answers to the questions of a bucket, a row for each slot."""
+        ids, at, count = op.resolve({c: _joined(t, c, {}) for c in payload})
         made = list(_cut(labels[np.mod(xxhash64(ids), n)], {"id": ids, "at": at, "count": count.astype(np.int32)}, {}))
-        answers = rows_of({"bucket": [k for k, _ in made], "kind": [ANSWER] * len(made)} | {c: [v[c] for _, v in made] for c in ("id", "at", "count")}, len(made), t.schema)
-        return pa.concat_tables([passed, answers.cast(t.schema)])
+        return pa.table([pa.array([k for k, _ in made], pa.int32()), *(pa.array([v[c] for _, v in made], pa.binary()) for c in ("id", "at", "count"))], names=["bucket", "id", "at", "count"])
 
-    def close(t: pa.Table) -> pa.Table:
-        kind = t["kind"].to_numpy()
+    def close(open_: pa.Table, answers: pa.Table) -> pa.Table:
         names = [c for c, _ in own]
-        open_ = t.filter(pa.array(kind == OPEN))
-        parts = [open_.select(names).slice(0, 0)]
-        if open_.num_rows:
-            answers = t.filter(pa.array(kind == ANSWER))
-            a_id, a_at, a_n = (_joined(answers, c, {}) for c in ("id", "at", "count"))
-            order = np.lexsort((a_at, a_id))
-            a_id, a_at, a_n = a_id[order], a_at[order], a_n[order]
-            ids = _ids(open_["doc_id"])
-            raw = [x.encode() for x in open_["text"].to_pylist()]
-            ranges = {}
-            for i in range(len(raw)):
-                known = np.frombuffer(open_["at"][i].as_py(), np.int32).reshape(-1, 2).tolist()
-                version = int(np.frombuffer(open_["count"][i].as_py(), np.int32)[0])
-                lo, hi = np.searchsorted(a_id, ids[i], "left"), np.searchsorted(a_id, ids[i], "right")
-                at = a_at[lo:hi]
-                mine = (at >> 40) == version
-                at, more = at[mine] & ((1 << 40) - 1), a_n[lo:hi][mine]
-                ranges[i] = [tuple(x) for x in known] + list(zip(at.tolist(), (at + more - 1).tolist()))
-            done = finished(open_, list(range(len(raw))), ranges, raw)
-            parts.append(rows_of(done, len(raw), t.schema).select(names).cast(parts[0].schema))
-        return pa.concat_tables(parts)
+        if not open_.num_rows:
+            return open_.select(names)
+        a_id, a_at, a_n = (_joined(answers, c, {}) for c in ("id", "at", "count"))
+        order = np.lexsort((a_at, a_id))
+        a_id, a_at, a_n = a_id[order], a_at[order], a_n[order]
+        ids = _ids(open_["doc_id"])
+        raw = [x.encode() for x in open_["text"].to_pylist()]
+        ranges = {}
+        for i in range(len(raw)):
+            known = np.frombuffer(open_["at"][i].as_py(), np.int32).reshape(-1, 2).tolist()
+            version = int(np.frombuffer(open_["count"][i].as_py(), np.int32)[0])
+            lo, hi = np.searchsorted(a_id, ids[i], "left"), np.searchsorted(a_id, ids[i], "right")
+            at = a_at[lo:hi]
+            mine = (at >> 40) == version
+            at, more = at[mine] & ((1 << 40) - 1), a_n[lo:hi][mine]
+            ranges[i] = [tuple(x) for x in known] + list(zip(at.tolist(), (at + more - 1).tolist()))
+        done = finished(open_, list(range(len(raw))), ranges, raw)
+        return rows_of(done, len(raw), open_.schema).select(names).cast(open_.select(names).schema)
 
     ddl = lambda cols: ", ".join(f"{c} {k}" for c, k in cols)
     found = rows.select("doc_id", "text").mapInArrow(entries, ENTRY)
     settled = found.groupBy("bucket").applyInArrow(settle, "bucket int, " + ", ".join(f"{c} binary" for c in SETTLED))
     replies = settled.groupBy("bucket").applyInArrow(settle_hot, REPLY)
     met = rows.groupBy("slot").cogroup(replies.groupBy("slot")).applyInArrow(meet, ddl(step))
-    # written, so that texts that are done move no further; only open ones, questions and answers do
+    # written, so that texts that are done move no further, and open ones once, to the answers
     met = written(met, "repeats-met")
-    solved = met.where(F.col("kind") != DONE).groupBy("bucket").applyInArrow(resolve, ddl(step))
-    closed = solved.groupBy("bucket").applyInArrow(close, ddl(own))
-    out = met.where(F.col("kind") == DONE).select(*(c for c, _ in own)).unionByName(closed)
+    kind = lambda k: met.where(F.col("kind") == k)
+    answers = kind(QUESTION).select("bucket", *payload).groupBy("bucket").applyInArrow(resolve, "bucket int, id binary, at binary, count binary")
+    closed = kind(OPEN).groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(close, ddl(own))
+    out = kind(DONE).select(*(c for c, _ in own)).unionByName(closed)
     if plain:
         return out.select("doc_id", "n", "removed", "spans", "sha", *(["text"] if texts else []))
     return out.select("doc_id", "text", *(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)))
