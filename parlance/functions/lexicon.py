@@ -310,12 +310,71 @@ def any_hit(text: Column) -> Column:
     return F.regexp_like(text, F.lit(_any_of([p for ps in CATEGORIES.values() for p in ps])))
 
 
+def _word_forms(pattern: str) -> set[str] | None:
+    """The words that a pattern of one whole word matches (`*` at the end of a form: any word that begins so); None for other patterns."""
+    if not (pattern.startswith(r"\b") and pattern.endswith(r"\b")):
+        return None
+    body = pattern[2:-2]
+    if not re.fullmatch(r"(?:[a-z]|\[[a-z]+\]|\(|\)|\||\?|\\w\*$)+", body):
+        return None
+
+    def several(x: str) -> tuple[set[str], str]:
+        """Forms of alternatives up to a closing parenthesis or the end, and the rest."""
+        out, forms = set(), {""}
+        while x and x[0] != ")":
+            if x[0] == "|":
+                out, forms, x = out | forms, {""}, x[1:]
+                continue
+            if x.startswith(r"\w*"):
+                part, x = {"*"}, x[3:]
+            elif x[0] == "(":
+                part, x = several(x[1:])
+                x = x[1:]
+            elif x[0] == "[":
+                part, x = set(x[1 : x.index("]")]), x[x.index("]") + 1 :]
+            else:
+                part, x = {x[0]}, x[1:]
+            if x.startswith("?"):
+                part, x = part | {""}, x[1:]
+            forms = {f + g for f in forms for g in part}
+        return out | forms, x
+
+    depth = 0
+    for c in body:  # alternatives of the whole pattern have boundaries on one side alone
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            return None
+    return several(body)[0]
+
+
+def _share_a_word(a: set[str], b: set[str]) -> bool:
+    return any(x == y or x[-1:] == "*" and y.startswith(x[:-1]) or y[-1:] == "*" and x.startswith(y[:-1]) for x in a for y in b)
+
+
+def counted_together(patterns: list[str]) -> list[list[str]]:
+    """The patterns in groups of which no word matches two, so that one search counts a group; patterns that aren't of one word stand alone."""
+    groups: list[tuple[list[str], set[str]]] = []
+    alone = []
+    for p in patterns:
+        forms = _word_forms(p)
+        if forms is None:
+            alone.append([p])
+            continue
+        home = next((g for g in groups if not _share_a_word(g[1], forms)), None)
+        if home is None:
+            groups.append(([p], forms))
+        else:
+            home[0].append(p)
+            home[1].update(forms)
+    return [g for g, _ in groups] + alone
+
+
 def raw_count(text: Column, category: str) -> Column:
     """Matches of all patterns; texts without any match cost one search for the whole category."""
     patterns = CATEGORIES[category]
     total = F.lit(0)
-    for p in patterns:
-        total = total + F.regexp_count(text, F.lit(p))
+    for group in counted_together(patterns):
+        total = total + F.regexp_count(text, F.lit(group[0] if len(group) == 1 else _any_of(group)))
     return F.when(F.regexp_like(text, F.lit(_any_of(patterns))), total).otherwise(F.lit(0))
 
 

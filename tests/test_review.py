@@ -95,3 +95,23 @@ def test_poll(spark, tmp_path, every):
     out = labels.poll(events, str(tmp_path / "s"), str(tmp_path / "cp"), said.append, every=every)
     assert out == {"done": 2} == said[-1]
     assert {r.id: r.failures for r in labels.states(spark, str(tmp_path / "s")).collect()} == {"a": 0, "b": 1}
+
+
+def test_counts_of_groups_are_those_of_patterns():
+    """Each pattern stands in one group; on all of their words and mixtures, a group's matches are the sum of its patterns'."""
+    import random
+    import re
+
+    from parlance.functions import lexicon
+
+    rnd = random.Random(3)
+    words = sorted({w.rstrip("*") for ps in lexicon.CATEGORIES.values() for p in ps for w in lexicon._word_forms(p) or ()})
+    assert len(words) > 200 and lexicon._word_forms(r"\bimprov(e|ed|ement)\b") == {"improve", "improved", "improvement"} and lexicon._word_forms(r"\bcrisis|cr(ises|isis)\b") is None
+    texts = words + [w + "s" for w in words] + [" ".join(rnd.choice(words + ["the", "of course", "opportunityhub", "de-globalization"]) + rnd.choice(["", "", "-", "/"]) for _ in range(30)) for _ in range(300)]
+    for ps in lexicon.CATEGORIES.values():
+        groups = lexicon.counted_together(ps)
+        assert sorted(p for g in groups for p in g) == sorted(ps) and len(groups) < len(ps)
+        for g in groups:
+            if len(g) > 1:
+                one = re.compile(lexicon._any_of(g))
+                assert all(sum(1 for _ in one.finditer(t)) == sum(len(re.findall(f"(?:{p})", t)) if "(" not in p else sum(1 for _ in re.finditer(p, t)) for p in g) for t in texts)
