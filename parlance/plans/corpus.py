@@ -194,9 +194,20 @@ def positional_replace(spark, sf_dir):
     return relational.replace_lines(lines, changes, "doc_id", "idx", "line").withColumn("idx", F.col("idx").cast("long"))
 
 
-@query()
+_LAST = r"""regexp_replace(lower(regexp_extract(now, '(\S+)\s*$', 1)), '^[.,!?;:''"()\[\]-]+|[.,!?;:''"()\[\]-]+$', '', 'g')"""
+_LOWER = rf"regexp_matches(ltrim(line), {_quoted(ordered._CONTINUES)})"
+_BOUNDARY = rf"(not regexp_matches(lower(now), '(?:{'|'.join(a.replace('.', chr(92) + '.') for a in dict.fromkeys(ordered.ABBREVIATIONS))})$') and regexp_matches(now, {_quoted(ordered._ENDS)}))"
+_JOINS = rf"(regexp_matches(now, '(,|[-–—]+)$') or {_LAST} in ({', '.join(map(_quoted, ordered.FUNCTION_WORDS))}) or {_LOWER} or len(string_split_regex(trim(now), '\s+')) <= 3 and not regexp_matches(now, '[.!?…]$'))"
+
+
+@query(rf"""with recursive d as (select doc_id, string_split(text, chr(10)) as lines, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '\s+$', '')), lambda x: trim(x) <> '') as l from documents),
+f as (select doc_id, 0 as i, cast([] as varchar[]) as done, cast(null as varchar) as now from d union all
+select doc_id, i + 1, case when now is null or more then done else list_append(done, now) end, case when now is null or not more then line when regexp_matches(now, '[-–—]$') then now || line else now || ' ' || line end
+from (select *, now is not null and not ({_BOUNDARY} and not {_LOWER}) and {_JOINS} as more from (select f.doc_id, f.i, f.done, f.now, d.l[f.i + 1] as line, len(d.l) as n from f join d using (doc_id)) where i < n)),
+e as (select doc_id, case when now is null then done else list_append(done, now) end as folded from f join d using (doc_id) where i = len(d.l))
+select doc_id, len(lines) as n_lines, len(folded) as n_folded, array_to_string(folded, chr(10)) as text from d join e using (doc_id)""")
 def line_fold(spark, sf_dir):
-    """Broken lines joined again; tested on fixed lines."""
+    """Broken lines joined again; also tested on fixed lines."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
     return docs.select("doc_id", F.size("lines").alias("n_lines"), ordered.folded(F.col("lines")).alias("folded")).select("doc_id", "n_lines", F.size("folded").alias("n_folded"), F.array_join("folded", "\n").alias("text"))
 

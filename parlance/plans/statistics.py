@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parlance.operators import relational, stats
 from parlance.plans.corpus import phi_sql
-from parlance.plans.registry import query, table
+from parlance.plans.registry import ORACLES, query, table
 
 JOINED = "(select d.lang, d.source, coalesce(l.quality, 0) = 1 as positive, coalesce(l.quality, 1) = 0 as negative, coalesce(l.toxic, 0) = 1 as emphatic, coalesce(l.toxic, 1) = 0 as hedged from documents d join labels l using (doc_id))"
 
@@ -52,9 +52,14 @@ def pearson_by_group(spark, sf_dir):
     return agg.where("n_days >= 4")
 
 
-@query()
+# Student's t of whole degrees of freedom has a closed form: with sin = |r| and cos = sqrt(1 - r * r), a sum over powers of cos
+_T_EVEN = "abs(r) * list_sum(list_transform(range(0, (n_days - 2) // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) * power(1 - r * r, k)))"
+_T_ODD = "2 / pi() * (asin(abs(r)) + coalesce(abs(r) * sqrt(1 - r * r) * list_sum(list_transform(range(0, (n_days - 3) // 2), lambda k: exp(lgamma(k + 1) - lgamma(k + 1.5)) * sqrt(pi()) / 2 * power(1 - r * r, k))), 0))"
+
+
+@query(f"select *, round(case when n_days < 3 or r is null then null when n_days % 2 = 0 then 1 - {_T_EVEN} else 1 - {_T_ODD} end, 6) as p from ({ORACLES['pearson_by_group']})")
 def pearson_pvalues(spark, sf_dir):
-    """The same with two-sided p-values; tested against published values."""
+    """The same with two-sided p-values; also tested against published values."""
     return stats.with_pvalue(pearson_by_group(spark, sf_dir), "r", "n_days", "p")
 
 
@@ -78,9 +83,13 @@ def kruskal_h(spark, sf_dir):
     return stats.kruskal(rows, "g", "x").select("kruskal_h", "df")
 
 
-@query()
+# chi-squared of an even number of degrees of freedom has a closed tail
+_H = ORACLES["kruskal_h"].replace("select round(", "select (").replace(", 4) as kruskal_h", ") as h")
+
+
+@query(f"select round(h, 4) as kruskal_h, df, round(exp(-h / 2) * list_sum(list_transform(range(0, cast(df // 2 as bigint)), lambda k: power(h / 2, k) / gamma(k + 1))), 4) as p from ({_H})")
 def kruskal_p(spark, sf_dir):
-    """The same with the tail probability; tested against published values."""
+    """The same with the tail probability; also tested against published values."""
     rows = table(spark, sf_dir, "part").select((F.col("p_size") % 7).alias("g"), F.col("p_retailprice").alias("x"))
     return stats.kruskal(rows, "g", "x")
 
