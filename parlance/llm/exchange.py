@@ -11,8 +11,9 @@ anchor that its content alone selects, so that equal windows have equal anchors.
    an anchor has several contexts does one of each have to be compared further.
    An anchor with many contexts in a batch is hot there: its entries meet by context instead, spread over all
    buckets, and the anchor's own bucket learns that it is hot and sends on what others sent it.
-3. Replies meet the texts by a hash of doc_id. Texts without a reply are done; the
-   others ask about the contexts that are open, again reduced to distinct ones. What
+3. Replies are written. A bitmap of the hashes of their ids, of bounded size, lets texts that have
+   none be finished where they are; the others, and few besides, meet their replies by a hash of doc_id
+   and ask about the contexts that are open, again reduced to distinct ones. What
    comes of this is written, and texts that are done are read from there.
 4. Questions meet by content, are resolved, and the answers return to the texts.
 
@@ -42,6 +43,8 @@ ASK, REPEATED, REPEATED_ASK = 1, 2, 3
 ONLY, FIRST, LATER, MARK, HOT = 0, 1, 2, 3, 8
 #: Entries that a task holds before it reduces and sends them: some 80 MB of text, or its whole partition.
 HELD_ENTRIES = 2_000_000
+#: Bits of the filter of ids that have replies; a row of its broadcast table holds 64.
+FILTER_BITS = 1 << 24
 #: Contexts of an anchor in one batch that make it hot.
 HOT_CONTEXTS = 64
 
@@ -153,7 +156,8 @@ def deduplicated(docs: DataFrame, op: Repeats, texts: bool = False, keep: list[s
     texts, keep = texts or not plain, keep or []
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     labels = partition_labels(spark, n)
-    number = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))), F.lit(n)).cast("int")
+    hashed = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
+    number = F.pmod(hashed, F.lit(n)).cast("int")
     slot = F.get(F.lit(labels.tolist()), number)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), slot.alias("slot"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)))
     kept_types = [(f"k{i}", docs.schema[c].dataType.simpleString()) for i, c in enumerate(keep)]
@@ -340,17 +344,40 @@ def deduplicated(docs: DataFrame, op: Repeats, texts: bool = False, keep: list[s
         done = finished(open_, list(range(len(raw))), ranges, raw)
         return rows_of(done, len(raw), open_.schema).select(names).cast(open_.select(names).schema)
 
+    def bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The words of the filter that a task's replies set."""
+        words = np.zeros(FILTER_BITS >> 6, np.uint64)
+        for b in batches:
+            place = np.unique(xxhash64(_joined(pa.Table.from_batches([b]), "id", {})) & np.int64(FILTER_BITS - 1))
+            np.bitwise_or.at(words, place >> 6, np.uint64(1) << (place & 63).astype(np.uint64))
+        at = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at].view(np.int64))], names=["word", "bits"])
+
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts without replies, finished."""
+        names = [c for c, _ in own]
+        for b in pieces(batches):
+            t = pa.Table.from_batches([b])
+            done = finished(t, list(range(b.num_rows)), {}, [x.encode() for x in t["text"].to_pylist()])
+            yield from rows_of(done, b.num_rows, t.schema).select(names).to_batches()
+
     ddl = lambda cols: ", ".join(f"{c} {k}" for c, k in cols)
     found = rows.select("doc_id", "text").mapInArrow(entries, ENTRY)
     settled = found.groupBy("bucket").applyInArrow(settle, "bucket int, " + ", ".join(f"{c} binary" for c in SETTLED))
-    replies = settled.groupBy("bucket").applyInArrow(settle_hot, REPLY)
+    replies = written(settled.groupBy("bucket").applyInArrow(settle_hot, REPLY), "repeats-replies")
+    words = replies.select("id").mapInArrow(bitmap, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))  # FILTER_BITS / 64 rows at most
+    place = F.pmod(hashed, F.lit(FILTER_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    marked = rows.withColumn("word", F.shiftright(place, 6)).join(F.broadcast(words), "word", "left").withColumn("near", F.coalesce(F.col("bits").bitwiseAND(bit) != 0, F.lit(False))).drop("word", "bits")
+    rest = marked.where(~F.col("near")).drop("near", "slot").mapInArrow(untouched, ddl(own))
+    rows = marked.where("near").drop("near")
     met = rows.groupBy("slot").cogroup(replies.groupBy("slot")).applyInArrow(meet, ddl(step))
     # written, so that texts that are done move no further, and open ones once, to the answers
     met = written(met, "repeats-met")
     kind = lambda k: met.where(F.col("kind") == k)
     answers = kind(QUESTION).select("bucket", *payload).groupBy("bucket").applyInArrow(resolve, "bucket int, id binary, at binary, count binary")
     closed = kind(OPEN).groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(close, ddl(own))
-    out = kind(DONE).select(*(c for c, _ in own)).unionByName(closed)
+    out = rest.unionByName(kind(DONE).select(*(c for c, _ in own))).unionByName(closed)
     if plain:
         return out.select("doc_id", "n", "removed", "spans", "sha", *(["text"] if texts else []))
     return out.select("doc_id", "text", *(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)))
