@@ -20,12 +20,24 @@ SCHEMAS = {
 }
 
 
-def _stem(path: str = "_metadata.file_path"):
-    return F.regexp_extract(F.col(path), r"([^/]+?)(?:\.[^./]*)*$", 1)
+def _unkeyed(part: str):
+    """A directory's name, or its value if it is one of a partitioned table (name=value)."""
+    return F.regexp_replace(F.regexp_extract(F.col("_metadata.file_path"), part, 1), r"^[^=]*=", "")
+
+
+def _named(path) -> object:
+    """What a file is called: its stem, or, of a part file, the value of its directory."""
+    own = F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)*$", 1)
+    value = F.regexp_extract(path, r"/[^/=]+=([^/]+)/part-[^/]*$", 1)
+    return F.when(value != "", value).otherwise(own)
+
+
+def _stem():
+    return _named(F.col("_metadata.file_path"))
 
 
 def _parent():
-    return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
+    return _unkeyed(r"([^/]+)/[^/]+$")
 
 
 def jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
@@ -44,16 +56,16 @@ def json_map(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.explode(F.from_json("value", T.MapType(T.StringType(), T.StringType()))).alias("key", "value"))
 
 
-def directory_arrays(spark: SparkSession, path: str, schema: str = SCHEMAS["search_hit"]) -> DataFrame:
+def directory_arrays(spark: SparkSession, path: str, schema: str = SCHEMAS["search_hit"], glob: str = "*.json") -> DataFrame:
     """<speaker>/video_list.json: rows of JSON arrays, with the directory as speaker; unreadable files are skipped."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path, wholetext=True).select(_parent().alias("speaker"), "value")
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True).select(_parent().alias("speaker"), "value")
     rows = raw.select("speaker", F.explode(F.from_json("value", f"array<struct<{', '.join(x.strip().replace(' ', ': ', 1) for x in schema.split(','))}>>")).alias("r"))
     return rows.select("r.*", "speaker").where("coalesce(id, '') <> ''")
 
 
 def transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """file, idx, speaker, start, end, text and duration of transcript documents; documents without segments have no rows."""
-    raw = spark.read.schema(SCHEMAS["transcript"]).option("multiLine", "true").json(path).select(_stem().alias("file"), "duration", F.posexplode("segments").alias("idx", "s"))
+    """file (its own filename, or the file's), idx, speaker, start, end, text and duration of transcript documents; those without segments have no rows (transcript_errors has them)."""
+    raw = spark.read.schema(SCHEMAS["transcript"]).option("multiLine", "true").option("recursiveFileLookup", "true").json(path).select(F.coalesce("filename", _stem()).alias("file"), "duration", F.posexplode("segments").alias("idx", "s"))
     return raw.select("file", "idx", "s.speaker", "s.start", "s.end", "s.text", "duration")
 
 
@@ -67,7 +79,7 @@ def transcript_errors(spark: SparkSession, path: str) -> DataFrame:
 
 def whole_texts(spark: SparkSession, path: str, suffix: str = ".txt") -> DataFrame:
     """video_id (the file's stem) and its whole text."""
-    return spark.read.option("pathGlobFilter", f"*{suffix}").text(path, wholetext=True).select(_stem().alias("video_id"), F.col("value").alias("text"))
+    return spark.read.option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", "true").text(path, wholetext=True).select(_stem().alias("video_id"), F.col("value").alias("text"))
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -88,7 +100,7 @@ def file_ids(spark: SparkSession, path: str, suffixes: list[str]) -> DataFrame:
     ends = F.lit(False)
     for s in suffixes:
         ends = ends | F.endswith("path", F.lit(s))
-    return found.where(ends).select(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)*$", 1).alias("id")).distinct()
+    return found.where(ends).select(_named(F.col("path")).alias("id")).distinct()
 
 
 def month_labels(spark: SparkSession, path: str, schema: str = SCHEMAS["annotation"]) -> DataFrame:
@@ -112,14 +124,14 @@ def names(spark: SparkSession, path: str) -> DataFrame:
 _ENTITIES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " "}
 
 
-def captions(spark: SparkSession, path: str, mode: str = "identity", max_chars: int = 200_000) -> DataFrame:
+def captions(spark: SparkSession, path: str, mode: str = "identity", max_chars: int = 200_000, suffix: str = ".vtt") -> DataFrame:
     """video_id and spoken text of WebVTT files, in three readings.
 
     identity: entities resolved, tags and `>>` off, lines equal to the one before dropped. plain:
     notes and timings off, tags off, repeated lines kept. audit: whole lines with <c> tags
     dropped, entities resolved, consecutive repeats dropped, joined by line breaks.
     """
-    raw = whole_texts(spark, path, ".vtt")
+    raw = whole_texts(spark, path, suffix)
     value = F.substring("text", 1, max_chars) if mode == "identity" else F.col("text")
     rows = F.filter(F.transform(F.split(value, r"\r?\n"), strip), lambda x: x != "")
     timing = r"-->|^\d{2}:\d{2}:\d{2}\." if mode == "identity" else r"-->|^\d{2}:\d{2}"
