@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from parlance.session import shared_dir, spread, written  # noqa: F401  for the operators
 
 #: Bytes of text that the NumPy code handles at once; bounds the memory of a worker.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
