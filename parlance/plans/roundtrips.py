@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import replies, text
 from parlance.operators import relational, state
-from parlance.plans.registry import query, table
+from parlance.plans import relational as _relational  # noqa: F401  polled_states has the twin of its state_machine
+from parlance.plans.registry import ORACLES, query, table
 from parlance.session import shared_dir
 from parlance.sources import files
 from parlance.streaming import labels
@@ -209,3 +210,43 @@ def numbered_replies(spark, sf_dir):
     line = F.when((F.col("i") + 1) % 3 == 0, F.concat("w", F.lit("|"), "w")).otherwise(F.concat((F.col("i") + 1).cast("string"), F.lit("|"), "w"))
     reply = words.groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", line.alias("l")))), lambda x: x["l"]), "\n").alias("reply"))
     return reply.select("item_id", F.explode(replies.numbered_lines(F.col("reply"))).alias("r")).select("item_id", "r.idx", "r.text")
+
+
+@query("select c_custkey, upper(c_name) as c_name from customer where c_acctbal > 0")
+def rewritten_in_place(spark, sf_dir):
+    """A folder rewritten from its own rows, the old one kept as a backup."""
+    path = shared_dir(spark, "rewritten")
+    schema = "c_custkey long, c_name string, c_acctbal double"
+    files.write_jsonl(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), path)
+    changed = files.jsonl(spark, path, schema).where("c_acctbal > 0").select("c_custkey", F.upper("c_name").alias("c_name"))
+    files.rewritten(changed, path, f"{path}.backup")
+    return files.jsonl(spark, path, "c_custkey long, c_name string")
+
+
+@query("select r_name as speaker from region")
+def speaker_folders(spark, sf_dir):
+    """Speakers by the folders that hold transcripts; one of another kind doesn't count."""
+    path = shared_dir(spark, "speakers")
+    rows = table(spark, sf_dir, "region").select(F.col("r_name").alias("value"))
+    for name in [r["value"] for r in rows.collect()]:  # five regions
+        rows.where(F.col("value") == name).write.text(f"{path}/{name}/transcripts")
+    rows.write.text(f"{path}/other/audio")
+    return files.speakers(spark, path)
+
+
+@query(ORACLES["state_machine"])
+def polled_states(spark, sf_dir):
+    """The work manifest followed as a stream, in one run over all that is there."""
+    events, folder, checkpoint = (shared_dir(spark, f"poll-{k}") for k in ("events", "states", "checkpoint"))
+    event = F.when(F.col("l_returnflag") == "R", "fail").when(F.col("l_linestatus") == "O", "done").otherwise("start")
+    order = Window.partitionBy("id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    lines = table(spark, sf_dir, "lineitem").withColumn("id", (F.col("l_orderkey") % 500).cast("string"))
+    lines.select("id", F.row_number().over(order).alias("seq"), event.alias("event")).write.json(events)
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        labels.poll(labels.stream(spark, events, "id string, seq long, event string", files=10_000), folder, checkpoint, lambda counts: None, every=None)
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+    return labels.states(spark, folder).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
