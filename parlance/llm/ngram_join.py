@@ -320,7 +320,9 @@ def _grouped(docs: DataFrame, keep: list[str], similarity: float, k: int, recall
     of = per_class.select(F.col("key").alias("node"), "copy_of", "copies", "size")
     placed = written(candidates.join(of, "node"), "ngram-placed")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / block_shingles)).cast("int")
-    mine = placed.join(placed.groupBy("root").agg(blocks.alias("blocks")), "root")
+    # sizes and names of components are tables of their own, so that a hot component's side of the joins can be split
+    sized = written(placed.groupBy("root").agg(blocks.alias("blocks")), "ngram-sizes")
+    mine = placed.join(sized, "root")
     mine = mine.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     mine = mine.select(F.col("copy_of").alias("doc_id"), F.col("node").alias("key"), "root", "blocks", "block", "copies")
     texts = _only_wanted(rows.select("doc_id", "text").where("doc_id is not null"), placed.select(F.col("copy_of").alias("doc_id"))).join(mine, "doc_id")
@@ -328,18 +330,17 @@ def _grouped(docs: DataFrame, keep: list[str], similarity: float, k: int, recall
     dealt = dealt.select("root", "key", "copies", "block", "text", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("blocks") == 1).alias("whole"))
     compared = dealt.groupBy("root", "lo", "hi").applyInArrow(lambda t: _compare(t, k, at_least), "key binary, links long, low binary, whole boolean")
     links = written(compared, "ngram-links")
-    discard(placed)
+    discard(placed, sized)
     total = links.groupBy("key").agg(F.sum("links").alias("links"))
     # where one task had the whole component, its parts are settled; the rest are joined up
     roots = links.where("whole").select(F.col("key").alias("node"), F.col("low").alias("root"))
     roots = roots.unionByName(components(links.where("not whole").select(F.col("key").alias("u"), F.col("low").alias("v")), "ngram-components"))
     group = per_class.select("key", "copy_of", "copies").join(total, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left")
-    group = group.withColumn("root", F.coalesce("root", "key"))
-    named = group.groupBy("root").agg(F.min("copy_of").alias("class_id"))
+    group = written(group.withColumn("root", F.coalesce("root", "key")), "ngram-groups")
+    named = written(group.groupBy("root").agg(F.min("copy_of").alias("class_id")), "ngram-names")
     verdict = group.join(named, "root").select("key", "root", "class_id", "copy_of", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    # a table of its own, so that adaptive execution can split a hot class's side of the join
-    verdict = written(verdict, "ngram-verdicts")
-    discard(per_class, links)
+    verdict = written(verdict, "ngram-verdicts")  # for the same reason: a hot class
+    discard(per_class, links, group, named)
     out = found.select("doc_id", *keep, "key").join(verdict, "key", "left")
     own = F.when(F.col("key").isNull(), F.col("doc_id"))
     return out.select("doc_id", *keep, "root", F.coalesce(F.col("class_id"), own).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("copy_of"), own).alias("copy_of"))
