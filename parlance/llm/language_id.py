@@ -244,7 +244,9 @@ def train(rows: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> Model:
     if not counts:
         return Model([], [], [], [], [], 0.0)
     model = build(counts)
-    return calibrated(model, _sample(rows.where(aside), max(200, per_language // 4), 2))
+    # the driver gets a number for each of these texts and language: fewer texts a language where there are many
+    each = min(max(200, per_language // 4), max(1, MODEL_CELLS // 4 // len(model.languages) ** 2))
+    return calibrated(model, _sample(rows.where(aside), each, 2))
 
 
 def calibrated(model: Model, rows: DataFrame) -> Model:
