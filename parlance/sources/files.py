@@ -63,9 +63,15 @@ def directory_arrays(spark: SparkSession, path: str, schema: str = SCHEMAS["sear
     return rows.select("r.*", "speaker").where("coalesce(id, '') <> ''")
 
 
-def transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """file (its own filename, or the file's), idx, speaker, start, end, text and duration of transcript documents; those without segments have no rows (transcript_errors has them)."""
-    raw = spark.read.schema(SCHEMAS["transcript"]).option("multiLine", "true").option("recursiveFileLookup", "true").json(path).select(F.coalesce("filename", _stem()).alias("file"), "duration", F.posexplode("segments").alias("idx", "s"))
+def transcripts(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """file (its own filename, or the file's), idx, speaker, start, end, text and duration of transcript documents; those without segments have no rows (transcript_errors has them).
+
+    A file holds a document or an array of them; with `lines`, any number, one a line. These have
+    no file of their own and are called by their filename alone. A file each costs a few
+    milliseconds and a place in the driver's listing; files of lines are split and read as streams.
+    """
+    name = F.col("filename") if lines else F.coalesce("filename", _stem())
+    raw = spark.read.schema(SCHEMAS["transcript"]).option("multiLine", not lines).option("recursiveFileLookup", "true").json(path).select(name.alias("file"), "duration", F.posexplode("segments").alias("idx", "s"))
     return raw.select("file", "idx", "s.speaker", "s.start", "s.end", "s.text", "duration")
 
 

@@ -30,6 +30,26 @@ def test_documents(spark, tmp_path):
     assert [(r.file, r.idx, r.speaker) for r in files.transcripts(spark, str(tmp_path / "t")).orderBy("idx").collect()] == [("v1", 0, "A"), ("v1", 1, None)]
 
 
+def test_transcript_lines(spark, tmp_path):
+    said = lambda name, *texts: json.dumps({"filename": name, "duration": 9.0, "segments": [{"start": 0.0, "end": 1.0, "text": x, "speaker": "A"} for x in texts]})
+    (tmp_path / "many.txt").write_text("\n".join([said("v1", "a\nb", "c"), '{"duration": 1.0}', "no json", said("v2", "d"), said(None, "e")]))
+    got = sorted(((r.file, r.idx, r.text) for r in files.transcripts(spark, str(tmp_path), lines=True).collect()), key=str)
+    assert got == sorted([("v1", 0, "a\nb"), ("v1", 1, "c"), ("v2", 0, "d"), (None, 0, "e")], key=str)
+
+
+def test_transcript_files_follow_tasks(spark, tmp_path, monkeypatch):
+    from parlance.plans import roundtrips
+
+    monkeypatch.setattr(roundtrips, "shared_dir", lambda spark, name: str(tmp_path / name))
+    docs = [(c, t, "user" if t else None, None if t == 2 else f" x  {c} ") for c in [*range(60), None] for t in range(3)]
+    spark.createDataFrame(docs, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "in" / "conversations.parquet"))
+    got = sorted(((r.file, r.idx, r.speaker, r.start, r.end, r.text) for r in roundtrips.transcript_rows(spark, str(tmp_path / "in")).collect()), key=str)
+    want = [(None if c is None else str(c), t, role, t * 1.0, t + 0.5, "" if x is None else f"x {c}") for c, t, role, x in docs]
+    assert got == sorted(want, key=str)
+    written = [p for p in (tmp_path / "transcripts").rglob("part-*")]
+    assert 0 < len(written) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_texts(spark, tmp_path):
     (tmp_path / "v1.txt").write_text("One.\n\n  Two. \nmore\n")
     assert [(r.video_id, r.sentence_index, r.sentence) for r in files.lines(spark, str(tmp_path)).orderBy("sentence_index").collect()] == [("v1", 0, "One."), ("v1", 2, "Two."), ("v1", 3, "more")]
