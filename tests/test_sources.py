@@ -35,6 +35,9 @@ def test_transcript_lines(spark, tmp_path):
     (tmp_path / "many.txt").write_text("\n".join([said("v1", "a\nb", "c"), '{"duration": 1.0}', "no json", said("v2", "d"), said(None, "e")]))
     got = sorted(((r.file, r.idx, r.text) for r in files.transcripts(spark, str(tmp_path), lines=True).collect()), key=str)
     assert got == sorted([("v1", 0, "a\nb"), ("v1", 1, "c"), ("v2", 0, "d"), (None, 0, "e")], key=str)
+    (tmp_path / "array").mkdir()
+    (tmp_path / "array" / "own.json").write_text(f"[{said('v1', 'a')},\n {said(None, 'b')}]")
+    assert [(r.file, r.text) for r in files.transcripts(spark, str(tmp_path / "array")).orderBy("text").collect()] == [("v1", "a"), ("own", "b")]
 
 
 def test_transcript_files_follow_tasks(spark, tmp_path, monkeypatch):
