@@ -133,6 +133,22 @@ def test_suffix_texts(docs, rows):
         assert want[r.doc_id][2] or r.text == (dict(rows)[r.doc_id] or "")
 
 
+def test_suffix_passages_at_the_length(spark):
+    """Repeated passages of over 50 words go at 400 bytes, the blanks around them included, and stay at 399, however many words they have."""
+    some, left = [], {}
+    for k, (n, size) in enumerate([(51, 397), (60, 397), (51, 398), (60, 398)]):
+        passage = " ".join(f"p{k}w{i}" for i in range(n))
+        passage += "x" * (size - len(passage))
+        for h, c in enumerate("abc"):
+            i, before, after = 10 * k + h, f"own{k}{h} text{c}", f"{c}tail own{h}{k}"
+            some.append((i, f"{before} {passage} {after}"))
+            left[i] = (0, some[-1][1]) if size < 398 else (size + 2, before + after)
+    df = spark.createDataFrame(some, "doc_id long, text string").repartition(5)
+    out = suffix_dedup.report(df, texts=True)
+    assert {r.doc_id: (r.n_removed, r.text) for r in out.collect()} == left
+    assert got(out, *COLS10) == sorted(brute.op10(some))
+
+
 @pytest.mark.parametrize("hot", [False, True])
 def test_forced_collisions(spark, monkeypatch, hot):
     """Where the first hash of contexts or of windows has four values alone, the second tells them apart."""
